@@ -66,6 +66,15 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
     return {c: got.get(c) for c in columns}
 
 
+def median_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """D3/D7 as a distributed table (column, median)."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), finite_or_null(F.col(c)).alias("x"))
+        for c in columns])).alias("kv")).select("kv.column", "kv.x")
+    return grouped_exact_quantiles(long, "column", "x", [0.5]).select(
+        "column", F.col("value").alias("median"))
+
+
 def category_vocabulary(df: DataFrame, columns: Sequence[str],
                         fill: str | None = MISSING_TOKEN) -> dict[str, list[str]]:
     """Sorted distinct values per column (code-point order), one job."""

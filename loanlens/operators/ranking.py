@@ -75,10 +75,13 @@ def _with_bucket(df: DataFrame, order_col: str, edges: list[float], descending:
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
-                   n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                   n_buckets: int | None = None, prefix: str = "cum_",
+                   keep_bucket: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of each ``c`` in order.
 
     ``df`` must be distinct on ``partition_cols + [order_col]``.
+    ``keep_bucket`` also returns the bucket id (``_bkt``), ordered like
+    ``order_col``.
     """
     P = list(partition_cols)
     k = _n_buckets(df, n_buckets)
@@ -96,7 +99,8 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding,
                                                                Window.currentRow)
-    return joined.select(*[F.col(c) for c in df.columns], *[
+    return joined.select(*[F.col(c) for c in df.columns],
+                         *([F.col(_BKT)] if keep_bucket else []), *[
         (F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
 
 

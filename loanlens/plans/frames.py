@@ -33,3 +33,15 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_based_split(scored(spark, sf_dir), "issue_d")
+
+
+def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_based_split(features(spark, sf_dir), "issue_d")
+
+
+def events_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reference = first half of the event month, current = second half."""
+    from loanlens.sources.fixture import read_table
+    ev = read_table(spark, sf_dir, "events")
+    cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
+    return ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)

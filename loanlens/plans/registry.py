@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loanlens.plans import catalog
+from loanlens.plans import catalog, catalog_models  # noqa: F401 (registers queries)
 
 
 def queries():
