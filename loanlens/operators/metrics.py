@@ -8,13 +8,15 @@ AUC/Gini and the ROC points.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.operators.ranking import assign_segments, exact_quantiles, running_totals
+from loanlens.operators.ranking import (assign_segments, exact_quantiles,
+                                        grouped_exact_quantiles, running_totals)
 
 Y, SCORE = "target_default", "score"
 
@@ -182,16 +184,56 @@ def psi_table(expected: DataFrame, actual: DataFrame, column: str, bins: int = 1
 def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10,
         actual_column: str | None = None) -> float:
     """L3: population stability index of ``actual`` against ``expected``."""
-    r = psi_table(expected, actual, column, bins, actual_column).agg(
-        F.coalesce(F.sum("psi_term"), F.lit(0.0))).first()
-    return float(r[0])
+    if actual_column and actual_column != column:
+        actual = actual.withColumnRenamed(actual_column, column)
+    return float(psi_by_column(expected, actual, [column], bins).first()["psi"])
 
 
 def psi_by_column(expected: DataFrame, actual: DataFrame, columns: Sequence[str],
                   bins: int = 10) -> DataFrame:
-    """PSI for several columns -> (feature, psi)."""
+    """PSI of several columns in a fixed number of jobs -> (feature, psi).
+
+    Quantile edges of every column come from one grouped exact-quantile job;
+    the (column, edges) table (#columns x <= bins+1 values) is broadcast and
+    both frames are binned in one aggregation. Denominators are full row
+    counts (missing values fall in no bin)."""
     spark = expected.sparkSession
-    rows = [(c, round(psi(expected, actual, c, bins), 6)) for c in columns]
+    cols = list(columns)
+
+    def long(frame: DataFrame, side: str) -> DataFrame:
+        return frame.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+            for c in cols])).alias("kv")).select(F.lit(side).alias("side"), "kv.feature",
+                                                 "kv.x")
+
+    probs = [float(v) for v in np.linspace(0, 1, bins + 1)]
+    qs = grouped_exact_quantiles(long(expected, "e"), "feature", "x", probs).collect()
+    per: dict[str, list[float]] = {}
+    for r in qs:
+        per.setdefault(r["feature"], []).append(r["value"])
+    interior = {c: sorted(set(per[c]))[1:-1] if c in per else [] for c in cols}
+    n_bins = {c: (len(sorted(set(per[c]))) - 1 if c in per else 0) for c in cols}
+    edges_tbl = spark.createDataFrame([(c, interior[c]) for c in cols],
+                                      "feature string, inner array<double>")
+    both = long(expected, "e").unionByName(long(actual, "a"))
+    valid = F.col("x").isNotNull() & ~F.isnan("x")
+    binned = both.join(F.broadcast(edges_tbl), "feature").select(
+        "feature", "side", F.when(valid, F.size(F.filter(
+            "inner", lambda e: e <= F.col("x")))).otherwise(-1).alias("bin"))
+    counts = binned.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c")).collect()
+    tot: dict[tuple, int] = {}
+    cnt: dict[tuple, int] = {}
+    for r in counts:
+        tot[(r["feature"], r["side"])] = tot.get((r["feature"], r["side"]), 0) + r["c"]
+        cnt[(r["feature"], r["side"], r["bin"])] = r["c"]
+    rows = []
+    for c in cols:
+        value = 0.0
+        for b in range(n_bins[c]):
+            e = cnt.get((c, "e", b), 0) / max(tot.get((c, "e"), 0), 1) or 1e-6
+            a = cnt.get((c, "a", b), 0) / max(tot.get((c, "a"), 0), 1) or 1e-6
+            value += (a - e) * math.log(a / e)
+        rows.append((c, round(value, 6)))
     return spark.createDataFrame(rows, "feature string, psi double")
 
 

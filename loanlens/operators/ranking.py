@@ -59,6 +59,22 @@ def _edges(df: DataFrame, order_col: str, k: int) -> list[float]:
     return sorted({float(v) for v in vals if v is not None and math.isfinite(v)})
 
 
+def count_and_edges(df: DataFrame, order_col: str, count_col: str | None = None,
+                    n_buckets: int | None = None) -> tuple[int, list[float]]:
+    """One pass: total count (sum of ``count_col``, else rows) and approximate
+    bucket edges of ``order_col``."""
+    k = _n_buckets(df, n_buckets)
+    total = F.sum(count_col) if count_col else F.count(F.lit(1))
+    aggs = [F.coalesce(total, F.lit(0)).alias("n")]
+    if k > 1:
+        aggs.append(F.percentile_approx(_as_double(df, order_col),
+                                        [i / k for i in range(1, k)], 10000).alias("e"))
+    row = df.agg(*aggs).first()
+    vals = (row["e"] or []) if k > 1 else []
+    edges = sorted({float(v) for v in vals if v is not None and math.isfinite(v)})
+    return int(row["n"]), edges
+
+
 def _with_bucket(df: DataFrame, order_col: str, edges: list[float], descending: bool
                  ) -> DataFrame:
     if not edges:
@@ -76,16 +92,17 @@ def _with_bucket(df: DataFrame, order_col: str, edges: list[float], descending:
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), descending: bool = False,
                    n_buckets: int | None = None, prefix: str = "cum_",
-                   keep_bucket: bool = False) -> DataFrame:
+                   keep_bucket: bool = False, edges: list[float] | None = None) -> DataFrame:
     """Add ``cum_<c>`` = inclusive running sum of each ``c`` in order.
 
     ``df`` must be distinct on ``partition_cols + [order_col]``.
     ``keep_bucket`` also returns the bucket id (``_bkt``), ordered like
-    ``order_col``.
+    ``order_col``. ``edges`` (from ``count_and_edges``) saves the sampling pass.
     """
     P = list(partition_cols)
-    k = _n_buckets(df, n_buckets)
-    b = _with_bucket(df, order_col, _edges(df, order_col, k), descending)
+    if edges is None:
+        edges = _edges(df, order_col, _n_buckets(df, n_buckets))
+    b = _with_bucket(df, order_col, edges, descending)
     keys = P + [_BKT]
     totals = b.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     w_off = (Window.partitionBy(*P) if P else Window).orderBy(_BKT).rowsBetween(
@@ -116,18 +133,22 @@ def assign_segments(df: DataFrame, order_col: str, tie_col: str,
     """
     df = df.filter(F.col(order_col).isNotNull())
     g = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("_c"))
-    n = int(g.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0])
+    n, edges = count_and_edges(g, order_col, "_c", n_buckets)
     if n == 0:
         return df.withColumn(out_col, F.lit(None).cast("int")), 0
-    rt = running_totals(g, order_col, ["_c"], descending=descending, n_buckets=n_buckets)
+    rt = running_totals(g, order_col, ["_c"], descending=descending, edges=edges)
     start = F.col("cum__c") - F.col("_c")
     rt = rt.select(order_col, start.alias("_start"),
                    segment_of(start, n).alias("_s_lo"),
                    segment_of(F.col("cum__c") - 1, n).alias("_s_hi"))
-    # <= one row per segment plus <= one per cut: bounded, small.
-    whole = (rt.filter(F.col("_s_lo") == F.col("_s_hi")).groupBy("_s_lo")
-             .agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect())
-    straddle = rt.filter(F.col("_s_lo") != F.col("_s_hi")).select(order_col, "_start").collect()
+    # One small collect: per segment its value range, plus every value that
+    # straddles a cut (<= #segments + #cuts rows).
+    straddles = F.col("_s_lo") != F.col("_s_hi")
+    bounds = rt.groupBy("_s_lo", F.when(straddles, F.col(order_col)).alias("_sv")).agg(
+        F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
+        F.min("_start").alias("_start"), F.max(straddles.cast("int")).alias("_st")).collect()
+    whole = [r for r in bounds if not r["_st"]]
+    straddle = [{order_col: r["_sv"], "_start": r["_start"]} for r in bounds if r["_st"]]
     oc = F.col(order_col)
     seg = None
     for r in whole:
@@ -173,7 +194,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     v = df.select(F.col(value_col).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     g = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = int(g.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0])
+    n, edges = count_and_edges(g, "_v", "_c", n_buckets)
     if n == 0:
         return None
     targets = []
@@ -181,7 +202,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
         h = (n - 1) * float(q)
         targets.append((h, math.floor(h), math.ceil(h)))
     positions = sorted({p for _, lo, hi in targets for p in (lo, hi)})
-    rt = running_totals(g, "_v", ["_c"], n_buckets=n_buckets)
+    rt = running_totals(g, "_v", ["_c"], edges=edges)
     start, end = F.col("cum__c") - F.col("_c"), F.col("cum__c")
     cond = None
     for p in positions:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -112,6 +113,9 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     """The full training run as Spark jobs; returns metric tables."""
     ensure_checkpoint_dir(spark)
     base = prepare_loans(loans)
+    # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
+    # statistics): keep it; lost blocks are rebuilt from lineage.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     edges = loan_size_edges(base)
     feats = build_features(base, loan_size_edges=edges)
     vocab_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)

@@ -48,6 +48,8 @@ def windowed_psi(stream: DataFrame, column: str, interior: list[float], shares:
     b = _bin(x, interior)
     aggs = [F.count(F.lit(1)).alias("n")] + [
         F.sum(F.when(b == i, 1).otherwise(0)).alias(f"b{i}") for i in range(len(shares))]
+    # event time must be a session-zone timestamp for watermarking
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     agg = (stream.filter(x.isNotNull()).withWatermark(ts, watermark)
            .groupBy(F.window(ts, window)).agg(*aggs))
     terms = []
@@ -71,7 +73,8 @@ def run_drift_stream_once(spark: SparkSession, sf_dir: str, column: str = "value
     cut = F.to_timestamp_ntz(F.lit("2024-01-16 00:00:00"))
     interior, shares = reference_profile(events.filter(F.col("ts") < cut), column)
     stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-              .parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+              # a glob (not a bare file path) so the file source lists it as input
+              .parquet(f"{sf_dir.rstrip('/')}/event[s].parquet"))
     out = windowed_psi(stream, column, interior, shares, window=window)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/drift-stream-{uuid.uuid4().hex}"
     q = (out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
