@@ -43,7 +43,7 @@ def decision(p: str | Column = "probability_default", approve_below: float = APP
 
 def risk_score(p: str | Column = "probability_default") -> Column:
     """M5: int((1 - p) * 1000), truncating."""
-    return ((F.lit(1.0) - col_of(p)) * 1000).cast("int")
+    return ((F.lit(1.0) - col_of(p)) * 1000).try_cast("int")
 
 
 def build_scorecard(df: DataFrame, prob: str = "probability_default",
