@@ -46,9 +46,14 @@ def finite_or_null(c: str | Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(INF)), F.lit(None).cast("double")).otherwise(c)
 
 
+# Every character Python's str.strip() removes (str.isspace()), from the rule.
+WHITESPACE = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+
+
 def strip_ws(c: str | Column) -> Column:
-    """Strip leading/trailing Unicode whitespace (``F.trim`` only strips spaces)."""
-    return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")
+    """Strip leading/trailing whitespace as Python's ``str.strip()`` does
+    (``F.trim`` only strips spaces); a character-set trim, no regex."""
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def parse_month(c: str | Column, dtype: T.DataType | None = None) -> Column:

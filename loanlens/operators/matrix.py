@@ -39,21 +39,54 @@ def category_as_string(df: DataFrame, columns: Sequence[str], token: str = MISSI
                       for c in df.columns])
 
 
+def _bad_numeric(v: Column) -> Column:
+    d = v.try_cast("double")
+    return v.isNotNull() & (v != "") & (d.isNull() | F.isnan(d))
+
+
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """String columns whose every value is numeric (empty = missing;
     NaN-like text is not numeric). One aggregate pass for all columns."""
     if not columns:
         return []
-    aggs = []
-    for i, c in enumerate(columns):
-        v = F.col(c)
-        d = v.try_cast("double")
-        bad = v.isNotNull() & (v != "") & (d.isNull() | F.isnan(d))
-        aggs.append(F.sum(bad.cast("long")).alias(f"b{i}"))
+    aggs = [F.sum(_bad_numeric(F.col(c)).cast("long")).alias(f"b{i}")
+            for i, c in enumerate(columns)]
     row = df.agg(*aggs).first()
     return [c for i, c in enumerate(columns) if not row[f"b{i}"]]
 
 
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) pairs, deduplicated map-side: the profile and the
+    vocabulary only need distinct values, so casts run once per value."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for c in columns])).alias("kv")).select("kv.column", "kv.value")
+    return long.distinct()
+
+
+def profile_and_vocabulary(df: DataFrame, columns: Sequence[str]
+                           ) -> tuple[list[str], dict[str, list[str]]]:
+    """D2 + D6 from one distinct-pairs table: numeric-looking columns, and
+    the sorted vocabulary of the others."""
+    if not columns:
+        return [], {}
+    pairs = distinct_values(df, columns).persist()
+    try:
+        bad = {r["column"]: r["bad"] for r in pairs.groupBy("column").agg(
+            F.sum(_bad_numeric(F.col("value")).cast("long")).alias("bad")).collect()}
+        coerced = [c for c in columns if not bad.get(c)]
+        cats = [c for c in columns if c not in coerced]
+        vocab = {c: [] for c in cats}
+        if cats:
+            for r in (pairs.filter(F.col("column").isin(*cats) & F.col("value").isNotNull())
+                      .groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v"))
+                      .collect()):
+                vocab[r["column"]] = list(r["v"])
+    finally:
+        pairs.unpersist()
+    return coerced, vocab
+
+
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact (linear-interpolated) median of each column, one job."""
     if not columns:
@@ -189,14 +222,13 @@ class MatrixPrep:
         others = [f.name for f in feats if not isinstance(f.dataType, T.StringType)]
         bad_types = [f.name for f in feats if f.name in others and not _is_numeric(f.dataType)]
         filled = category_as_string(src, strings, self.missing_token)
-        coerced = numeric_profile(filled.select(strings), strings) if strings else []
+        coerced, vocab = profile_and_vocabulary(filled, strings)
         categorical = [c for c in strings if c not in coerced]
         numeric = [c for c in others if c not in bad_types] + coerced
         num_src = src.select(*[
             (F.nullif(F.col(c), F.lit("")).try_cast("double") if c in coerced
              else F.col(c).cast("double")).alias(c) for c in numeric])
         medians = column_medians(num_src, numeric)
-        vocab = category_vocabulary(filled, categorical)
         names = [f.name for f in feats if f.name in set(numeric) | set(categorical)]
         return MatrixPrepModel(feature_names=names, numeric_columns=numeric,
                                categorical_columns=categorical, coerced_columns=coerced,

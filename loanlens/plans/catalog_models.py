@@ -16,6 +16,7 @@ from loanlens.plans import frames as fr
 from loanlens.plans.catalog import register
 from loanlens.plans.jobs import API_CATEGORICAL_FIELDS, compare_models, run_training
 from loanlens.plans.oracle import q
+from loanlens.session import materialize
 from loanlens.sources.fixture import LOANS_SQL, loan_view
 from loanlens.sources.readers import applications_from_loans
 
@@ -245,7 +246,7 @@ def _model_comparison(spark, sf):
 def _boosted_setup(spark, sf):
     split = fr.split_features(spark, sf).cache()
     prep = MatrixPrep().fit(split)
-    m = prep.transform(split, keep=["split", "issue_d"]).checkpoint(eager=True)
+    m = materialize(prep.transform(split, keep=["split", "issue_d"]), "matrix")
     model = tr.train(m.filter("split = 'train'"), "xgboost", **QUERY_MODELS["xgboost"])
     return prep, m, model
 

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from loanlens.operators.cleaning import clean_and_label, drop_leaky_columns
 from loanlens.operators.features import build_features
 from loanlens.operators.splits import time_based_split
+from loanlens.session import materialize
 from loanlens.sources.fixture import loan_view
 
 PROB = "probability_default"
 
 
-def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loan_view(spark, sf_dir).transform(clean_and_label)
+def cleaned(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """Cleaned, labelled loans. Downstream queries make several passes
+    (quantile edges, split boundaries, matrix statistics), so the joined and
+    filtered table is written once to the shared folder and every pass reads
+    that copy instead of replaying the join."""
+    df = loan_view(spark, sf_dir).transform(clean_and_label)
+    return materialize(df, "cleaned") if materialized else df
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """End-to-end jobs: training run (K10), evaluation of a saved model (K11),
 model comparison (K9), artifacts (A8, A9), monitor (O3).
 
-Lineage is cut once, after the model matrix is built: the matrix is
-written with ``checkpoint()`` to the cluster's shared checkpoint folder,
-so a lost executor never replays the feature pipeline.
+Lineage is cut twice - after cleaning and after the model matrix is built:
+both are written as Parquet to the cluster's shared checkpoint folder and
+read back, so a lost executor never replays the joins or the features.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from loanlens.operators.decisions import APPROVE_BELOW, REJECT_ABOVE
 from loanlens.operators.features import build_features, loan_size_edges
 from loanlens.operators.matrix import MatrixPrep, category_vocabulary, feature_defaults
 from loanlens.operators.splits import seeded_sample, split_bounds, time_based_split
-from loanlens.session import ensure_checkpoint_dir
+from loanlens.session import ensure_checkpoint_dir, materialize
 from loanlens.sources.sinks import read_json_artifact, write_json_artifact
 
 # Raw categorical fields of the application form.
@@ -112,10 +111,9 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
                  **params) -> TrainingRun:
     """The full training run as Spark jobs; returns metric tables."""
     ensure_checkpoint_dir(spark)
-    base = prepare_loans(loans)
     # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
-    # statistics): keep it; lost blocks are rebuilt from lineage.
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    # statistics): written once to the shared folder, read back columnar.
+    base = materialize(prepare_loans(loans), "train-base")
     edges = loan_size_edges(base)
     feats = build_features(base, loan_size_edges=edges)
     vocab_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)
@@ -123,7 +121,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     prep = MatrixPrep()
     prep_model = prep.fit(split, fit_on=split.filter("split = 'train'") if fit_on == "train"
                           else None)
-    matrix = prep_model.transform(split, keep=["split", "issue_d"]).checkpoint(eager=True)
+    matrix = materialize(prep_model.transform(split, keep=["split", "issue_d"]), "matrix")
     train = matrix.filter("split = 'train'")
     val = matrix.filter("split = 'val'")
     test = matrix.filter("split = 'test'")
