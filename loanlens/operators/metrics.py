@@ -344,6 +344,19 @@ def per_vintage_auc(df: DataFrame, date_col: str = "issue_d", y: str = Y,
                       F.col("P").cast("long").alias("n_pos"))
 
 
+def vintage_auc_by_model(df: DataFrame, scores: dict[str, str], date_col: str = "issue_d",
+                         y: str = Y) -> DataFrame:
+    """Per-vintage AUC of several models aligned on vintage: a long
+    (model, vintage, auc) table pivoted to one column per model (missing
+    vintages of a model stay NULL, as an outer join would leave them)."""
+    parts = [per_vintage_auc(df, date_col, y, col).select(
+        F.lit(name).alias("model"), "vintage", "auc") for name, col in scores.items()]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+    return long.groupBy("vintage").pivot("model", list(scores)).agg(F.first("auc"))
+
+
 def evaluate(df: DataFrame, y: str = Y, prob: str = "probability_default",
              tie_col: str = "loan_id") -> dict[str, DataFrame]:
     """Metrics bundle over one scored frame (persist it first)."""

@@ -513,3 +513,57 @@ def _scorecard_top(spark, sf):
     return (dec.build_scorecard(fr.scored(spark, sf), keep=("loan_id",))
             .orderBy(F.desc("probability_default"), "loan_id").limit(20))
 
+
+
+# --- 2.E / 2.H / 2.K additions ----------------------------------------------------
+
+# Second fixed score for the model-alignment query: exact in both engines.
+ALT_SCORE_SQL = "floor(int_rate * 10) / 1000.0"
+
+
+@register("vintage_auc_by_model", q("""
+, g AS (SELECT m.model, strftime(issue_d, '%Y-%m') AS vintage, m.score,
+               sum(target_default) AS pos, count(*) - sum(target_default) AS neg
+        FROM scored,
+             (SELECT 'exposure' AS model UNION ALL SELECT 'rate') mm,
+             LATERAL (SELECT mm.model,
+                        CASE WHEN mm.model = 'exposure' THEN probability_default
+                             ELSE """ + ALT_SCORE_SQL + """ END AS score) m
+        WHERE m.score IS NOT NULL
+        GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(pos) OVER (PARTITION BY model, vintage ORDER BY score DESC
+                               ROWS UNBOUNDED PRECEDING) AS cum_pos FROM g),
+a AS (SELECT model, vintage,
+             round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
+                   sum(neg * (cum_pos - pos * 0.5)) / (sum(pos) * sum(neg)) END, 6) AS auc
+      FROM c GROUP BY model, vintage)
+SELECT coalesce(e.vintage, r.vintage) AS vintage, e.auc AS exposure, r.auc AS rate
+FROM (SELECT * FROM a WHERE model = 'exposure') e
+FULL OUTER JOIN (SELECT * FROM a WHERE model = 'rate') r ON e.vintage = r.vintage"""))
+def _vintage_by_model(spark, sf):
+    s = fr.scored(spark, sf).withColumn(
+        "alt_score", F.floor(F.col("int_rate") * 10) / F.lit(1000.0))
+    return me.vintage_auc_by_model(s, {"exposure": PROB, "rate": "alt_score"})
+
+
+@register("top_correlations", q(
+    "SELECT * FROM (SELECT 'top' AS side, feature, corr FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(corr({c}, target_default), 6) AS corr FROM clean"
+        for c in CORR_COLUMNS) + ") WHERE corr IS NOT NULL ORDER BY corr DESC, feature LIMIT 5) "
+    "UNION ALL SELECT * FROM (SELECT 'bottom' AS side, feature, corr FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(corr({c}, target_default), 6) AS corr FROM clean"
+        for c in CORR_COLUMNS) + ") WHERE corr IS NOT NULL ORDER BY corr ASC, feature LIMIT 5)"))
+def _top_correlations(spark, sf):
+    """H2: strongest positive / negative correlates of the target (top-k report)."""
+    corr = rp.target_correlation(fr.cleaned(spark, sf), columns=CORR_COLUMNS)
+    top, bottom = rp.top_bottom(corr, 5)
+    return (top.select(F.lit("top").alias("side"), "feature", "corr")
+            .unionByName(bottom.select(F.lit("bottom").alias("side"), "feature", "corr")))
+
+
+@register("baseline_accuracy", q(
+    "SELECT round(1 - avg(target_default), 6) AS baseline_accuracy FROM clean"))
+def _baseline_accuracy(spark, sf):
+    """K8: accuracy of always predicting 'no default'."""
+    return fr.cleaned(spark, sf).agg(
+        F.round(1 - F.avg("target_default"), 6).alias("baseline_accuracy"))

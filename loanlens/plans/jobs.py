@@ -15,6 +15,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanlens.operators import explain as ex
 from loanlens.operators import metrics as me
@@ -207,3 +208,37 @@ def evaluate_saved(spark: SparkSession, loans: DataFrame, artifacts: ScoringArti
     s = tr.score(artifacts.model, m)
     return me.binary_metrics(s, TARGET, "p_raw").withColumn(
         "model", F.lit(artifacts.metadata.get("model")))
+
+
+def dashboard_tables(scored: DataFrame, prob: str = "probability_default",
+                     target: str = TARGET) -> dict[str, DataFrame]:
+    """The seven dashboard tables from one scored loan table."""
+    from loanlens.operators import decisions as dec
+    from loanlens.operators import reports as rp
+    flat = [f.name for f in scored.schema.fields
+            if not isinstance(f.dataType, T.UserDefinedType)]
+    scored = scored.select(*flat)  # report sinks (CSV) hold flat columns only
+    banded = scored.withColumn("risk_band", dec.risk_band(prob)).withColumn(
+        "decision", dec.decision(prob))
+    return {
+        "dashboard_dataset": banded,
+        "risk_scores": banded.select("loan_id", prob, "risk_band", "decision"),
+        "thresholds": me.sweep_thresholds(scored, target, prob),
+        "portfolio_summary": rp.portfolio_summary(banded, "decision", prob, target),
+        "decision_default_rate": rp.default_rate(banded, "decision", target),
+        "scorecard": dec.build_scorecard(scored, prob, target, keep=("loan_id",)),
+        "risk_band_analysis": rp.default_rate(banded, "risk_band", target),
+    }
+
+
+def run_monitor(spark: SparkSession, reference_path: str, current_path: str,
+                out_path: str | None = None, target: str = TARGET) -> tuple[DataFrame, DataFrame]:
+    """O3: read the two snapshots, build the drift table, write it."""
+    from loanlens.operators.monitoring import dataset_drift, drift_table
+    from loanlens.sources.readers import read_snapshots
+    from loanlens.sources.sinks import write_report
+    ref, cur = read_snapshots(spark, reference_path, current_path)
+    table = drift_table(ref, cur, target)
+    if out_path:
+        write_report(table, out_path)
+    return table, dataset_drift(table)

@@ -37,15 +37,25 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return nan_to_null_all(out)
 
 
-def load_raw_data(spark: SparkSession, path: str | Path, schema: T.StructType | None = None
-                  ) -> DataFrame:
+def with_loan_key(df: DataFrame, key: str = "loan_id") -> DataFrame:
+    """Rows need an explicit key (Spark rows have no index): keep ``key``,
+    else take the export's numeric ``id``, else generate one."""
+    if key in df.columns:
+        return df
+    if "id" in df.columns:
+        return df.withColumn(key, F.col("id").try_cast("long"))
+    return df.withColumn(key, F.monotonically_increasing_id())
+
+
+def load_raw_data(spark: SparkSession, path: str | Path, schema: T.StructType | None = None,
+                  key: str = "loan_id") -> DataFrame:
     """A1: read the raw loan CSV with a fixed schema (no inference pass);
     quoted multi-line text fields are kept whole. ``str`` and ``Path`` work."""
     path = str(path)
     schema = schema or loan_csv_schema(_header(spark, path))
     df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return normalize_missing(df)
+    return with_loan_key(normalize_missing(df), key)
 
 
 def read_snapshots(spark: SparkSession, reference_path: str, current_path: str
@@ -54,9 +64,10 @@ def read_snapshots(spark: SparkSession, reference_path: str, current_path: str
     return spark.read.parquet(reference_path), spark.read.parquet(current_path)
 
 
-def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """A3/A4: read back a processed table or report (Parquet, else CSV)."""
-    if path.endswith(".csv"):
+def read_processed(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """A3/A4: read back a processed table or report (CSV by ``fmt`` or a
+    ``.csv`` name, else Parquet)."""
+    if fmt == "csv" or (fmt is None and path.rstrip("/").endswith(".csv")):
         return spark.read.option("header", "true").option("inferSchema", "true").csv(path)
     return spark.read.parquet(path)
 
