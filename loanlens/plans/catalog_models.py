@@ -295,7 +295,8 @@ def _score_batch(spark, sf):
     """Score every application of the fixture with a freshly trained champion."""
     from loanlens.operators.scoring import score_applications
     loans = loan_view(spark, sf)
-    run = run_training(spark, loans, "xgboost", shap_sample=None, **QUERY_MODELS["xgboost"])
+    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False,
+                       **QUERY_MODELS["xgboost"])
     return score_applications(applications_from_loans(loans), run.artifacts,
                               issue_month="Jan-2002")
 
@@ -305,7 +306,8 @@ def _score_stream(spark, sf):
     """The application feed as a file stream, scored micro-batch by micro-batch."""
     from loanlens.streaming.scoring_stream import run_scoring_stream_once
     loans = loan_view(spark, sf)
-    run = run_training(spark, loans, "xgboost", shap_sample=None, **QUERY_MODELS["xgboost"])
+    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False,
+                       **QUERY_MODELS["xgboost"])
     return run_scoring_stream_once(spark, applications_from_loans(loans), run.artifacts,
                                    issue_month="Jan-2002")
 

@@ -109,8 +109,11 @@ def prepare_loans(loans: DataFrame) -> DataFrame:
 def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboost",
                  train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
                  shap_sample: int | None = SHAP_SAMPLE_SIZE, out_dir: str | None = None,
-                 **params) -> TrainingRun:
-    """The full training run as Spark jobs; returns metric tables."""
+                 evaluate: bool = True, **params) -> TrainingRun:
+    """The full training run as Spark jobs; returns metric tables.
+
+    ``evaluate=False`` fits only what scoring needs (matrix state, model,
+    training defaults, isotonic map) and skips the holdout metrics."""
     ensure_checkpoint_dir(spark)
     # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
     # statistics): written once to the shared folder, read back columnar.
@@ -118,7 +121,8 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     edges = loan_size_edges(base)
     feats = build_features(base, loan_size_edges=edges)
     vocab_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)
-    split = time_based_split(feats, "issue_d", train_frac, val_frac)
+    # the labelled split feeds the matrix statistics and the matrix itself
+    split = materialize(time_based_split(feats, "issue_d", train_frac, val_frac), "split")
     prep = MatrixPrep()
     prep_model = prep.fit(split, fit_on=split.filter("split = 'train'") if fit_on == "train"
                           else None)
@@ -130,9 +134,23 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     defaults = feature_defaults(train, names)
 
     model = tr.train(train, model_name, **params)
+    s_val = tr.score(model, val)
+    if not evaluate:
+        iso = tr.fit_isotonic(s_val, "p_raw")
+        artifacts = ScoringArtifacts(
+            model=model, calibrator=iso, feature_names=names,
+            vocabulary={**prep_model.vocabulary, **vocab_api}, defaults=defaults,
+            loan_size_edges=edges,
+            metadata={"model": model_name,
+                      "training_date": dt.datetime.now(dt.UTC).isoformat()})
+        if out_dir:
+            artifacts.save(spark, out_dir)
+        counts = split_bounds(split)
+        return TrainingRun(metrics=counts, decile_lift=None, vintage_auc=None,
+                           feature_psi=None, importance=None, bounds=counts,
+                           artifacts=artifacts, scored_test=None)
     s_test = tr.score(model, test).persist()
     s_train = tr.score(model, train)
-    s_val = tr.score(model, val)
 
     summary = me.binary_metrics(s_test, TARGET, "p_raw").first()
     cls = me.classification_metrics(s_test, TARGET, "p_raw").first()
