@@ -64,18 +64,32 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.distinct()
 
 
-def profile_and_vocabulary(df: DataFrame, columns: Sequence[str]
+MAX_VOCABULARY = 1_000_000
+
+
+def profile_and_vocabulary(df: DataFrame, columns: Sequence[str],
+                           max_vocabulary: int = MAX_VOCABULARY
                            ) -> tuple[list[str], dict[str, list[str]]]:
     """D2 + D6 from one distinct-pairs table: numeric-looking columns, and
-    the sorted vocabulary of the others."""
+    the sorted vocabulary of the others.
+
+    Vocabularies become literal lookup maps, so a categorical column must
+    have a bounded domain: the distinct count is checked first and a column
+    above ``max_vocabulary`` (free text left in the matrix) raises instead of
+    being gathered into one task."""
     if not columns:
         return [], {}
     pairs = distinct_values(df, columns).persist()
     try:
-        bad = {r["column"]: r["bad"] for r in pairs.groupBy("column").agg(
-            F.sum(_bad_numeric(F.col("value")).cast("long")).alias("bad")).collect()}
-        coerced = [c for c in columns if not bad.get(c)]
+        stats = {r["column"]: r for r in pairs.groupBy("column").agg(
+            F.sum(_bad_numeric(F.col("value")).cast("long")).alias("bad"),
+            F.count("value").alias("distinct")).collect()}
+        coerced = [c for c in columns if not (stats.get(c) and stats[c]["bad"])]
         cats = [c for c in columns if c not in coerced]
+        too_big = [c for c in cats if stats[c]["distinct"] > max_vocabulary]
+        if too_big:
+            raise ValueError(f"categorical column(s) {too_big} have more than {max_vocabulary} "
+                             "distinct values; drop or transform free text before encoding")
         vocab = {c: [] for c in cats}
         if cats:
             for r in (pairs.filter(F.col("column").isin(*cats) & F.col("value").isNotNull())
