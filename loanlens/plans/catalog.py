@@ -74,12 +74,15 @@ def _employment(spark, sf):
                                          "employment_stability")
 
 
+# Dates leave as ISO text: engines hand DATE to pandas as different types.
 @register("credit_history", q(
-    "SELECT loan_id, issue_d, earliest_cr_line, round(credit_history_years, 6) "
-    "AS credit_history_years FROM feat"))
+    "SELECT loan_id, strftime(issue_d, '%Y-%m-%d') AS issue_d, "
+    "strftime(earliest_cr_line, '%Y-%m-%d') AS earliest_cr_line, "
+    "round(credit_history_years, 6) AS credit_history_years FROM feat"))
 def _credit_history(spark, sf):
     return fr.features(spark, sf).select(
-        "loan_id", "issue_d", "earliest_cr_line",
+        "loan_id", F.date_format("issue_d", "yyyy-MM-dd").alias("issue_d"),
+        F.date_format("earliest_cr_line", "yyyy-MM-dd").alias("earliest_cr_line"),
         F.round("credit_history_years", 6).alias("credit_history_years"))
 
 
@@ -300,10 +303,13 @@ def _boxplot(spark, sf):
 # --- 2.J splits --------------------------------------------------------------
 
 @register("time_split_bounds", q(
-    "SELECT split, min(issue_d) AS start, max(issue_d) AS \"end\", count(*) AS n "
+    "SELECT split, strftime(min(issue_d), '%Y-%m-%d') AS start, "
+    "strftime(max(issue_d), '%Y-%m-%d') AS \"end\", count(*) AS n "
     "FROM splitted GROUP BY split"))
 def _split_bounds(spark, sf):
-    return split_bounds(fr.split_scored(spark, sf))
+    b = split_bounds(fr.split_scored(spark, sf))
+    return b.select("split", F.date_format("start", "yyyy-MM-dd").alias("start"),
+                    F.date_format("end", "yyyy-MM-dd").alias("end"), "n")
 
 
 @register("split_assignment", q("SELECT loan_id, split FROM splitted"))
