@@ -145,3 +145,11 @@ def test_monitor_job(spark, run, tmp_path):
     assert {x.column for x in table.collect()} == {"loan_amnt", "grade", "dti"}
     assert summary.first().n_columns == 3
     assert spark.read.parquet(str(tmp_path / "drift")).count() == 3
+
+
+def test_evaluate_saved_model_on_rebuilt_holdout(spark, run):
+    from loanlens.plans.jobs import evaluate_saved
+    loans, r = run
+    got = evaluate_saved(spark, loans, r.artifacts).first()
+    assert got.n == r.metrics.first().n_test
+    assert got.roc_auc > 0.6
