@@ -63,3 +63,23 @@ def test_exact_quantiles_match_numpy(spark):
     g = {(r.k, r.q): r.value for r in grouped_exact_quantiles(long, "k", "x", [.5]).collect()}
     assert g[("a", .5)] == pytest.approx(np.median(x))
     assert g[("b", .5)] == pytest.approx(np.median(x * 2))
+
+
+def test_fixture_metrics_invariant_to_partitioning(spark):
+    from loanlens.operators import metrics as me
+    from loanlens.plans import frames as fr
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for parts in ("1", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            s = fr.split_scored(spark, "/root/testdata/sf0.001")
+            p = "probability_default"
+            out.append((
+                sorted(tuple(r) for r in me.decile_lift_table(s, score=p).collect()),
+                tuple(me.binary_metrics(s, score=p).first()),
+                me.psi(s.filter("split = 'train'"), s.filter("split = 'test'"), p),
+                sorted((r.loan_id, r.split) for r in s.select("loan_id", "split").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
