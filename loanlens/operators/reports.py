@@ -85,7 +85,7 @@ def value_counts(df: DataFrame, column: str, dropna: bool = False) -> DataFrame:
     total = src.count()
     return counts.select(column, "count",
                          F.round(F.col("count") / F.lit(float(max(total, 1))) * 100, 6)
-                         .alias("percent"))
+                         .alias("percent")).orderBy(F.desc("count"), F.asc_nulls_last(column))
 
 
 def overall_default_rate(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -94,11 +94,25 @@ def overall_default_rate(df: DataFrame, target: str = TARGET) -> DataFrame:
                   F.count(F.lit(1)).alias("n"))
 
 
-def default_rate(df: DataFrame, key: str, target: str = TARGET, digits: int = 6) -> DataFrame:
-    """Default rate (percent) and count per key; NULL keys dropped."""
-    return (df.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.round(F.avg(target) * 100, digits).alias("default_rate"),
-                 F.count(F.lit(1)).alias("n")))
+def default_rate(df: DataFrame, key: str, target: str = TARGET, digits: int = 6,
+                 order: str | None = None, labels: tuple[str, ...] | None = None,
+                 limit: int | None = None) -> DataFrame:
+    """Default rate (percent) and count per key; NULL keys dropped.
+
+    ``order``: 'rate' (ascending rate), 'key', or 'labels' (bucket order given
+    by ``labels``; empty buckets are absent); ``limit`` keeps the first rows
+    of that order (a top-k report)."""
+    out = (df.filter(F.col(key).isNotNull()).groupBy(key)
+           .agg(F.round(F.avg(target) * 100, digits).alias("default_rate"),
+                F.count(F.lit(1)).alias("n")))
+    if order == "rate":
+        out = out.orderBy("default_rate", key)
+    elif order == "key":
+        out = out.orderBy(key)
+    elif order == "labels" and labels:
+        rank = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(key))
+        out = out.orderBy(rank, key)
+    return out.limit(limit) if limit is not None else out
 
 
 def portfolio_summary(df: DataFrame, key: str = "decision", prob: str = "probability_default",

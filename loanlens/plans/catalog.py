@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.operators import decisions as dec
+from loanlens.operators import features as fe
 from loanlens.operators import metrics as me
 from loanlens.operators import reports as rp
 from loanlens.operators.cleaning import drop_leaky_columns
@@ -174,8 +175,19 @@ _RATE_KEYS = {
 }
 
 
+# Report order per key (notebook semantics): by rate, by key, or bucket order.
+_RATE_ORDER = {
+    "delinq_2yrs": ("key", None),
+    "dti_bucket": ("labels", fe.DTI_LABELS),
+    "employment_stability": ("labels", fe.EMPLOYMENT_LABELS),
+    "inquiry_risk_bucket": ("labels", fe.INQUIRY_LABELS),
+}
+
+
 def _rate_query(key: str) -> Query:
-    return lambda spark, sf: rp.default_rate(fr.features(spark, sf), key)
+    order, labels = _RATE_ORDER.get(key, ("rate", None))
+    return lambda spark, sf: rp.default_rate(fr.features(spark, sf), key, order=order,
+                                             labels=labels)
 
 
 for _name, _key in _RATE_KEYS.items():
