@@ -64,21 +64,22 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.distinct()
 
 
-MAX_VOCABULARY = 1_000_000
+# Vocabularies up to this size are applied as literal lookup maps; larger
+# (free-text-like) columns get a distributed code table instead.
+MAX_LITERAL_VOCABULARY = 10_000
 
 
 def profile_and_vocabulary(df: DataFrame, columns: Sequence[str],
-                           max_vocabulary: int = MAX_VOCABULARY
-                           ) -> tuple[list[str], dict[str, list[str]]]:
-    """D2 + D6 from one distinct-pairs table: numeric-looking columns, and
-    the sorted vocabulary of the others.
-
-    Vocabularies become literal lookup maps, so a categorical column must
-    have a bounded domain: the distinct count is checked first and a column
-    above ``max_vocabulary`` (free text left in the matrix) raises instead of
-    being gathered into one task."""
+                           max_literal: int = MAX_LITERAL_VOCABULARY
+                           ) -> tuple[list[str], dict[str, list[str]], list[str]]:
+    """D2 + D6 from one distinct-pairs table.
+
+    Returns (numeric-looking columns, sorted vocabularies of the small
+    categorical columns, large categorical columns). The distinct count is
+    checked before anything is gathered: a column above ``max_literal``
+    distinct values is never collected, it is encoded via ``code_table``."""
     if not columns:
-        return [], {}
+        return [], {}, []
     pairs = distinct_values(df, columns).persist()
     try:
         stats = {r["column"]: r for r in pairs.groupBy("column").agg(
@@ -86,19 +87,56 @@ def profile_and_vocabulary(df: DataFrame, columns: Sequence[str],
             F.count("value").alias("distinct")).collect()}
         coerced = [c for c in columns if not (stats.get(c) and stats[c]["bad"])]
         cats = [c for c in columns if c not in coerced]
-        too_big = [c for c in cats if stats[c]["distinct"] > max_vocabulary]
-        if too_big:
-            raise ValueError(f"categorical column(s) {too_big} have more than {max_vocabulary} "
-                             "distinct values; drop or transform free text before encoding")
-        vocab = {c: [] for c in cats}
-        if cats:
-            for r in (pairs.filter(F.col("column").isin(*cats) & F.col("value").isNotNull())
+        large = [c for c in cats if stats[c]["distinct"] > max_literal]
+        small = [c for c in cats if c not in large]
+        vocab = {c: [] for c in small}
+        if small:
+            for r in (pairs.filter(F.col("column").isin(*small) & F.col("value").isNotNull())
                       .groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v"))
                       .collect()):
                 vocab[r["column"]] = list(r["v"])
     finally:
         pairs.unpersist()
-    return coerced, vocab
+    return coerced, vocab, large
+
+
+def code_table(df: DataFrame, column: str, fill: str | None = MISSING_TOKEN,
+               name: str = "codes") -> str:
+    """D5 for a large vocabulary, fully distributed: (value, code) with code =
+    position of the value in the sorted distinct values.
+
+    One execution sorts the distinct values globally (range partitioning on
+    sampled bounds) and stamps each row with its partition and row id; that
+    table is written to the shared folder, so the ids are fixed. Codes are
+    then the per-partition offsets (a window over #partitions rows) plus the
+    row's position inside its partition. Returns the Parquet path."""
+    from loanlens.session import materialize, write_table
+
+    v = F.col(column).cast("string")
+    if fill is not None:
+        v = F.coalesce(v, F.lit(fill))
+    distinct = df.select(v.alias("value")).filter(F.col("value").isNotNull()).distinct()
+    stamped = materialize(distinct.orderBy("value").select(
+        "value", F.spark_partition_id().alias("_p"),
+        F.monotonically_increasing_id().alias("_m")), f"{name}-stamped")
+    per = stamped.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
+    # offsets has one row per sort partition: bounded by the partition count.
+    codes = stamped.join(F.broadcast(offsets), "_p").select(
+        "value", (F.col("_o") + F.col("_m") - F.col("_m0")).cast("long").alias("code"))
+    return write_table(codes, name)
+
+
+def encode_with_table(df: DataFrame, column: str, table_path: str, out_col: str,
+                      missing_token: str = MISSING_TOKEN) -> DataFrame:
+    """Join a code table (unknown -> -1). AQE broadcasts small tables and
+    splits skewed keys of large ones."""
+    codes = df.sparkSession.read.parquet(table_path).select(
+        F.col("value").alias(f"_v_{out_col}"), F.col("code").alias(out_col))
+    key = F.coalesce(F.col(column).cast("string"), F.lit(missing_token))
+    j = df.withColumn(f"_v_{out_col}", key).join(codes, f"_v_{out_col}", "left")
+    return j.drop(f"_v_{out_col}").withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)))
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -176,14 +214,21 @@ class MatrixPrepModel:
     key_columns: list[str] = field(default_factory=list)
     target: str = TARGET
     missing_token: str = MISSING_TOKEN
+    code_tables: dict[str, str] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, assemble: bool = True,
                   keep: Sequence[str] = ()) -> DataFrame:
         """Encode any frame with the fitted state: key, target, features."""
         have = set(df.columns)
+        for c, path in self.code_tables.items():
+            if c in have:
+                df = encode_with_table(df, c, path, f"_code_{c}", self.missing_token)
         exprs = []
         for c in self.feature_names:
-            if c in self.categorical_columns:
+            if c in self.code_tables:
+                exprs.append((F.col(f"_code_{c}") if c in have else F.lit(-1))
+                             .cast("double").alias(c))
+            elif c in self.categorical_columns:
                 v = F.col(c).cast("string") if c in have else F.lit(None).cast("string")
                 v = F.coalesce(v, F.lit(self.missing_token))
                 exprs.append(encode(v, self.vocabulary.get(c, [])).cast("double").alias(c))
@@ -220,7 +265,9 @@ class MatrixPrep:
 
     def __init__(self, target: str = TARGET, key_columns: Sequence[str] = ("loan_id",),
                  drop: Sequence[str] = MODEL_DROP_COLUMNS, extra_drop: Sequence[str] = ("split",),
-                 missing_token: str = MISSING_TOKEN):
+                 missing_token: str = MISSING_TOKEN,
+                 max_literal_vocabulary: int = MAX_LITERAL_VOCABULARY):
+        self.max_literal_vocabulary = max_literal_vocabulary
         self.target = target
         self.key_columns = list(key_columns)
         self.drop = list(drop) + list(extra_drop)
@@ -236,7 +283,10 @@ class MatrixPrep:
         others = [f.name for f in feats if not isinstance(f.dataType, T.StringType)]
         bad_types = [f.name for f in feats if f.name in others and not _is_numeric(f.dataType)]
         filled = category_as_string(src, strings, self.missing_token)
-        coerced, vocab = profile_and_vocabulary(filled, strings)
+        coerced, vocab, large = profile_and_vocabulary(filled, strings,
+                                                       self.max_literal_vocabulary)
+        tables = {c: code_table(filled, c, self.missing_token, name=f"codes-{c}")
+                  for c in large}
         categorical = [c for c in strings if c not in coerced]
         numeric = [c for c in others if c not in bad_types] + coerced
         num_src = src.select(*[
@@ -247,7 +297,8 @@ class MatrixPrep:
         return MatrixPrepModel(feature_names=names, numeric_columns=numeric,
                                categorical_columns=categorical, coerced_columns=coerced,
                                medians=medians, vocabulary=vocab, key_columns=self.key_columns,
-                               target=self.target, missing_token=self.missing_token)
+                               target=self.target, missing_token=self.missing_token,
+                               code_tables=tables)
 
 
 def feature_defaults(matrix: DataFrame, feature_names: Sequence[str]) -> dict[str, float | None]:

@@ -49,13 +49,18 @@ class ScoringArtifacts:
     approve_below: float = APPROVE_BELOW
     reject_above: float = REJECT_ABOVE
     metadata: dict = field(default_factory=dict)
+    code_tables: dict[str, str] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> str:
-        """Model, calibrator and JSON state under one folder."""
+        """Model, calibrator, code tables and JSON state under one folder."""
         base = path.rstrip("/")
         self.model.write().overwrite().save(f"{base}/model")
         self.calibrator.write().overwrite().save(f"{base}/calibrator")
-        write_json_artifact(spark, {
+        tables = {}
+        for c, src in self.code_tables.items():
+            tables[c] = f"{base}/codes/{c}"
+            spark.read.parquet(src).write.mode("overwrite").parquet(tables[c])
+        write_json_artifact(spark, {"code_tables": tables,
             "feature_names": self.feature_names, "vocabulary": self.vocabulary,
             "defaults": self.defaults, "loan_size_edges": self.loan_size_edges,
             "approve_below": self.approve_below, "reject_above": self.reject_above,
@@ -71,7 +76,7 @@ class ScoringArtifacts:
                    feature_names=st["feature_names"], vocabulary=st["vocabulary"],
                    defaults=st["defaults"], loan_size_edges=st["loan_size_edges"],
                    approve_below=st["approve_below"], reject_above=st["reject_above"],
-                   metadata=st["metadata"])
+                   metadata=st["metadata"], code_tables=st.get("code_tables", {}))
 
 
 def load_champion(spark: SparkSession, primary: str | None, fallback: str | None = None
@@ -109,7 +114,8 @@ def prepare_loans(loans: DataFrame) -> DataFrame:
 def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboost",
                  train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
                  shap_sample: int | None = SHAP_SAMPLE_SIZE, out_dir: str | None = None,
-                 evaluate: bool = True, **params) -> TrainingRun:
+                 evaluate: bool = True, prep_options: dict | None = None,
+                 **params) -> TrainingRun:
     """The full training run as Spark jobs; returns metric tables.
 
     ``evaluate=False`` fits only what scoring needs (matrix state, model,
@@ -123,7 +129,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     vocab_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)
     # the labelled split feeds the matrix statistics and the matrix itself
     split = materialize(time_based_split(feats, "issue_d", train_frac, val_frac), "split")
-    prep = MatrixPrep()
+    prep = MatrixPrep(**(prep_options or {}))
     prep_model = prep.fit(split, fit_on=split.filter("split = 'train'") if fit_on == "train"
                           else None)
     matrix = materialize(prep_model.transform(split, keep=["split", "issue_d"]), "matrix")
@@ -140,7 +146,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         artifacts = ScoringArtifacts(
             model=model, calibrator=iso, feature_names=names,
             vocabulary={**prep_model.vocabulary, **vocab_api}, defaults=defaults,
-            loan_size_edges=edges,
+            loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
             metadata={"model": model_name,
                       "training_date": dt.datetime.now(dt.UTC).isoformat()})
         if out_dir:
@@ -185,7 +191,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     artifacts = ScoringArtifacts(
         model=model, calibrator=iso, feature_names=names,
         vocabulary={**prep_model.vocabulary, **vocab_api}, defaults=defaults,
-        loan_size_edges=edges,
+        loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
         metadata={"model": model_name, "training_date": dt.datetime.now(dt.UTC).isoformat(),
                   "test_auc": summary["roc_auc"], "test_ks": summary["ks"],
                   "test_gini": summary["gini"], "brier": float(brier["cal"]),
@@ -220,7 +226,8 @@ def evaluate_saved(spark: SparkSession, loans: DataFrame, artifacts: ScoringArti
     from pyspark.ml.feature import VectorAssembler
     test = split.filter("split = 'test'")
     m = encode_for_model(test, artifacts.feature_names, artifacts.vocabulary,
-                         artifacts.defaults, keep=["loan_id", TARGET])
+                         artifacts.defaults, keep=["loan_id", TARGET],
+                         code_tables=artifacts.code_tables)
     m = VectorAssembler(inputCols=artifacts.feature_names, outputCol="features",
                         handleInvalid="keep").transform(m)
     s = tr.score(artifacts.model, m)

@@ -77,9 +77,14 @@ def materialize(df, name: str = "table"):
     back: cuts lineage like ``checkpoint()`` (survives executor loss, never
     replays upstream joins) while later passes keep column pruning and
     filter pushdown on the columnar copy."""
+    return df.sparkSession.read.parquet(write_table(df, name))
+
+
+def write_table(df, name: str = "table") -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; the path."""
     import uuid
 
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path

@@ -16,7 +16,8 @@ def write_synthetic_csv(path, n=3000, seed=7):
             "sub_grade", "emp_length", "home_ownership", "annual_inc", "verification_status",
             "purpose", "dti", "issue_d", "earliest_cr_line", "revol_util", "revol_bal",
             "inq_last_6mths", "delinq_2yrs", "open_acc", "pub_rec", "total_acc",
-            "initial_list_status", "application_type", "total_pymnt", "recoveries", "desc"]
+            "initial_list_status", "application_type", "total_pymnt", "recoveries", "desc",
+            "title"]
     with open(path, "w", newline="") as fh:
         w = csv.writer(fh)
         w.writerow(cols)
@@ -43,7 +44,8 @@ def write_synthetic_csv(path, n=3000, seed=7):
                 int(rng.integers(0, 6)), int(rng.integers(0, 3)), int(rng.integers(1, 30)),
                 int(rng.integers(0, 2)), int(rng.integers(5, 60)), "w" if i % 2 else "f",
                 "Individual", amt * 1.1, 0.0,
-                'line one\nline "two"' if i % 50 == 0 else "plain"])
+                'line one\nline "two"' if i % 50 == 0 else "plain",
+                f"title {int(rng.integers(0, 2000))}"])
 
 
 @pytest.fixture(scope="module")
@@ -54,8 +56,9 @@ def run(spark, tmp_path_factory):
     path = d / "synthetic_lending.csv"
     write_synthetic_csv(path)
     loans = load_raw_data(spark, path)          # a Path works as well as a str
+    # a small literal limit sends the free-text title through a code table
     return loans, run_training(spark, loans, "xgboost", maxIter=15, maxDepth=3,
-                               shap_sample=300)
+                               shap_sample=300, prep_options={"max_literal_vocabulary": 500})
 
 
 def test_csv_read_keeps_multiline_text_and_types(run):
@@ -71,6 +74,7 @@ def test_csv_read_keeps_multiline_text_and_types(run):
 
 def test_training_gate_auc(run):
     _, r = run
+    assert set(r.artifacts.code_tables) == {"title"}
     m = r.metrics.first()
     assert m.roc_auc > 0.6                      # the original CI gate
     assert m.brier_calibrated <= m.brier_raw + 0.01
@@ -96,7 +100,8 @@ def test_artifacts_roundtrip_batch_equals_stream(spark, run, tmp_path):
     r.artifacts.save(spark, out)
     art = load_champion(spark, str(tmp_path / "missing"), out)
     apps = (loans.select(F.col("loan_id").alias("app_id"), "*")
-            .drop("loan_id", "loan_status", "id", "desc", "total_pymnt", "recoveries", "issue_d")
+            .drop("loan_id", "loan_status", "id", "desc", "title", "total_pymnt", "recoveries",
+                  "issue_d")
             .withColumn("delinq_2yrs", F.col("delinq_2yrs").cast("long"))
             .withColumn("inq_last_6mths", F.col("inq_last_6mths").cast("long"))
             .withColumn("open_acc", F.col("open_acc").cast("long"))

@@ -103,3 +103,19 @@ def test_padded_serving_quartiles(spark):
         q = np.quantile(arr, [0, .25, .5, .75, 1])
         idx = 0 if a <= q[1] else 1 if a <= q[2] else 2 if a <= q[3] else 3
         assert g == labels[idx]
+
+
+def test_large_vocabulary_uses_distributed_code_table(spark):
+    from loanlens.operators import matrix as mx
+    rng = __import__("random").Random(3)
+    words = [f"w{rng.randrange(10**6):06d}" for _ in range(400)] + [None] * 5
+    df = spark.createDataFrame([(i, w, float(i % 7), i % 2) for i, w in enumerate(words)],
+                               "loan_id long, title string, x double, target_default int")
+    model = mx.MatrixPrep(max_literal_vocabulary=50).fit(df)
+    assert "title" in model.code_tables and "title" not in model.vocabulary
+    got = {r.loan_id: r.title for r in model.transform(df, assemble=False).collect()}
+    vocab = sorted({w if w is not None else "nan" for w in words})
+    for i, w in enumerate(words):
+        assert got[i] == vocab.index(w if w is not None else "nan")
+    unseen = spark.createDataFrame([(999, "zzz", 1.0, 0)], df.schema)
+    assert model.transform(unseen, assemble=False).first().title == -1
