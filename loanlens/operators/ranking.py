@@ -60,16 +60,22 @@ def _edges(df: DataFrame, order_col: str, k: int) -> list[float]:
 
 
 def count_and_edges(df: DataFrame, order_col: str, count_col: str | None = None,
-                    n_buckets: int | None = None) -> tuple[int, list[float]]:
-    """One pass: total count (sum of ``count_col``, else rows) and approximate
-    bucket edges of ``order_col``."""
+                    n_buckets: int | None = None, nulls: dict | None = None
+                    ) -> tuple[int, list[float]]:
+    """One pass: total count of non-null ``order_col`` (sum of ``count_col``,
+    else rows) and approximate bucket edges; ``nulls["n"]`` receives the
+    count of NULL order values when a dict is passed."""
     k = _n_buckets(df, n_buckets)
-    total = F.sum(count_col) if count_col else F.count(F.lit(1))
-    aggs = [F.coalesce(total, F.lit(0)).alias("n")]
+    present = F.col(order_col).isNotNull()
+    weight = F.col(count_col) if count_col else F.lit(1)
+    aggs = [F.coalesce(F.sum(F.when(present, weight)), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when(~present, weight)), F.lit(0)).alias("n_null")]
     if k > 1:
         aggs.append(F.percentile_approx(_as_double(df, order_col),
                                         [i / k for i in range(1, k)], 10000).alias("e"))
     row = df.agg(*aggs).first()
+    if nulls is not None:
+        nulls["n"] = int(row["n_null"])
     vals = (row["e"] or []) if k > 1 else []
     edges = sorted({float(v) for v in vals if v is not None and math.isfinite(v)})
     return int(row["n"]), edges
@@ -124,16 +130,22 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
 def assign_segments(df: DataFrame, order_col: str, tie_col: str,
                     segment_of: Callable[[Column, int], Column], out_col: str = "segment",
                     descending: bool = False, n_buckets: int | None = None,
-                    with_position: bool = False) -> tuple[DataFrame, int]:
+                    with_position: bool = False, require_not_null: bool = False
+                    ) -> tuple[DataFrame, int]:
     """Rank rows by ``order_col`` (then ``tie_col`` ascending, which must be
     unique) and set ``out_col = segment_of(rank, n)``; ``segment_of`` must
-    be non-decreasing in rank. Rows with NULL ``order_col`` are dropped.
+    be non-decreasing in rank. Rows with NULL ``order_col`` are dropped, or
+    raise ``ValueError`` with ``require_not_null`` (checked in the same pass).
 
     Returns ``(frame, n)``.
     """
-    df = df.filter(F.col(order_col).isNotNull())
     g = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("_c"))
-    n, edges = count_and_edges(g, order_col, "_c", n_buckets)
+    nulls: dict = {}
+    n, edges = count_and_edges(g, order_col, "_c", n_buckets, nulls=nulls)
+    if require_not_null and nulls["n"]:
+        raise ValueError(f"{order_col!r} contains values that could not be parsed")
+    df = df.filter(F.col(order_col).isNotNull())
+    g = g.filter(F.col(order_col).isNotNull())
     if n == 0:
         return df.withColumn(out_col, F.lit(None).cast("int")), 0
     rt = running_totals(g, order_col, ["_c"], descending=descending, edges=edges)
