@@ -585,3 +585,20 @@ def _baseline_accuracy(spark, sf):
     """K8: accuracy of always predicting 'no default'."""
     return fr.cleaned(spark, sf).agg(
         F.round(1 - F.avg("target_default"), 6).alias("baseline_accuracy"))
+
+
+@register("classification_metrics", q("""
+, cc AS (SELECT CAST(sum(CASE WHEN target_default = 0 AND NOT probability_default > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+                CAST(sum(CASE WHEN target_default = 0 AND probability_default > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+                CAST(sum(CASE WHEN target_default = 1 AND NOT probability_default > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+                CAST(sum(CASE WHEN target_default = 1 AND probability_default > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp
+         FROM scored)
+SELECT tn, fp, fn, tp,
+       round(""" + _safe("tp + tn", "tp + tn + fp + fn") + """, 6) AS accuracy,
+       round(""" + _safe("tp", "tp + fp") + """, 6) AS precision,
+       round(""" + _safe("tp", "tp + fn") + """, 6) AS recall,
+       round(""" + _safe("2 * tp", "2 * tp + fp + fn") + """, 6) AS f1
+FROM cc"""))
+def _classification_metrics(spark, sf):
+    """Accuracy, precision, recall, F1 at p > 0.5 (0 on zero division)."""
+    return me.classification_metrics(fr.scored(spark, sf), "target_default", PROB)
