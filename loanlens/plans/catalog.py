@@ -602,3 +602,21 @@ FROM cc"""))
 def _classification_metrics(spark, sf):
     """Accuracy, precision, recall, F1 at p > 0.5 (0 on zero division)."""
     return me.classification_metrics(fr.scored(spark, sf), "target_default", PROB)
+
+
+def _histogram_sql(column: str, relation: str, bins: int = 50) -> str:
+    return q(f"""
+, mm AS (SELECT min({column}) AS lo, max({column}) AS hi FROM {relation}),
+h AS (SELECT CAST(least(floor(({column} - lo) * {bins} / (hi - lo)), {bins - 1}) AS INTEGER)
+             AS bin, count(*) AS c FROM {relation}, mm WHERE {column} IS NOT NULL GROUP BY 1)
+SELECT b.bin, round(lo + b.bin * ((hi - lo) / {bins}), 6) AS bin_lo,
+       round(lo + (b.bin + 1) * ((hi - lo) / {bins}), 6) AS bin_hi,
+       CAST(coalesce(h.c, 0) AS BIGINT) AS count
+FROM (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) b CROSS JOIN mm
+LEFT JOIN h ON b.bin = h.bin""")
+
+
+@register("histogram_score", _histogram_sql("probability_default", "scored"))
+def _histogram_score(spark, sf):
+    """F14 on the score: 50 equal-width bins of the probability column."""
+    return rp.histogram(fr.scored(spark, sf), PROB, 50)
