@@ -620,3 +620,25 @@ LEFT JOIN h ON b.bin = h.bin""")
 def _histogram_score(spark, sf):
     """F14 on the score: 50 equal-width bins of the probability column."""
     return rp.histogram(fr.scored(spark, sf), PROB, 50)
+
+
+def _boxplot_sql(column: str) -> str:
+    return q(f"""
+, qq AS (SELECT target_default, quantile_cont({column}, 0.25) AS q1,
+                quantile_cont({column}, 0.5) AS med, quantile_cont({column}, 0.75) AS q3
+         FROM clean WHERE {column} IS NOT NULL GROUP BY target_default)
+SELECT c.target_default, '{column}' AS feature, round(q1, 6) AS q1, round(med, 6) AS median,
+       round(q3, 6) AS q3,
+       round(min(CASE WHEN {column} >= q1 - 1.5 * (q3 - q1) THEN {column} END), 6) AS whisker_low,
+       round(max(CASE WHEN {column} <= q3 + 1.5 * (q3 - q1) THEN {column} END), 6) AS whisker_high,
+       count(*) AS n
+FROM clean c JOIN qq ON c.target_default = qq.target_default
+WHERE {column} IS NOT NULL GROUP BY c.target_default, q1, med, q3""")
+
+
+def _boxplot_query(column: str) -> Query:
+    return lambda spark, sf: rp.boxplot_stats(fr.cleaned(spark, sf), column)
+
+
+for _col in ("annual_inc", "revol_util"):
+    register(f"boxplot_stats_{_col}", _boxplot_sql(_col))(_boxplot_query(_col))
