@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from loanlens.llm import (
-    html_extract, jaccard_join, license_scan, mixing, nearest, packing, quality_rules, token_counts)
+    classifier, html_extract, jaccard_join, license_scan, mixing, nearest, packing, pii,
+    quality_rules, token_counts)
 from loanlens.llm.common import read_table, whole_text, word_count
 from loanlens.session import ensure_checkpoint_dir, materialize
 
@@ -34,12 +35,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights, threshold = classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    return classifier.classify(docs, weights, threshold).select(
+        "doc_id", "held_out", "score", "predicted", "strength")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, PACKING_TOKENIZER, pattern=public_tokenizers.PATTERN)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join.similarity_classes(docs).select("doc_id", "class_id", "n_links", "n_copies")
@@ -72,7 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_personal_data": op5_personal_data,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_token_counts": op7_token_counts,
         "op8_html_extraction": op8_html_extraction,

@@ -22,9 +22,12 @@ through, columns named like a result are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.llm.common import whole_text, word_count
+from loanlens.session import ensure_checkpoint_dir
+
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_REPEATS = 2
@@ -33,6 +36,8 @@ SHARD_WORDS = 1_000_000
 SEED = "mix-0"
 #: A block is at most this part of the smallest source's target.
 PRECISION = 100
+#: Source and shard totals of more rows are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def sainte_lague(parties: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -92,8 +97,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
     ).drop("_rn", "_cap", "_t", "_w", "_level", "_open")
 
 
-def _overlap(start: Column, end: Column, lo: Column, hi: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(end, hi) - F.greatest(start, lo))
+def _small(table: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast if it is counted to have few rows; else
+    the join shuffles."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str = "doc_id", *,
@@ -103,6 +110,7 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     ``target``, ``taken``, ``whole_passes`` (times the document is taken whole)
     and ``cut_from``/``cut_to``, ``cut2_from``/``cut2_to`` (word ranges taken
     once more; empty ranges have equal ends)."""
+    ensure_checkpoint_dir(docs.sparkSession)
     key = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
     name = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     made = ("source_size", "target", "taken", "whole_passes", "cut_from", "cut_to", "cut2_from", "cut2_to")
@@ -120,9 +128,9 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
         "seats": F.floor(F.sum("target").over(every) / F.col("block") + 0.5).cast("long"),
         "cap": max_repeats * F.ceil(F.col("source_size") / F.col("block")).cast("long")})
     s = sainte_lague(s, "all", ["_key"]).select(
-        "_key", "source_size", "target", "block", "n_shards", F.col("quota").alias("_source_quota"))
+        "_key", "source_size", "target", "block", "n_shards", F.col("quota").alias("_source_quota")).checkpoint()
 
-    d = d.join(s.select("_key", "source_size", "target", "block", "n_shards"), "_key")
+    d = d.join(_small(s.select("_key", "source_size", "target", "block", "n_shards")), "_key")
     d = d.withColumn("_shard", F.conv(F.substring("_name", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
     shards = (d.groupBy("_key", "_shard").agg(F.sum("_size").alias("shard_size"))
               .join(s.select("_key", "block", F.col("_source_quota").alias("seats")), "_key"))
@@ -140,11 +148,12 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
         F.when(F.col("_blocks") > 0, F.col("quota") % F.col("_blocks")).otherwise(0).alias("_run"),
         F.when(F.col("_blocks") > 0, first % F.col("_blocks")).otherwise(0).alias("_first"))
     shards = shards.withColumn("_passes", F.when(F.col("_blocks") > 0, F.floor(
-        F.col("_whole") / F.col("_blocks"))).otherwise(0).cast("long"))
+        F.col("_whole") / F.col("_blocks"))).otherwise(0).cast("long")).checkpoint()
 
     order = Window.partitionBy("_key", "_shard").orderBy("_name", "_size")
     d = d.withColumn("_end", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_start", F.col("_end") - F.col("_size")).join(shards, ["_key", "_shard"])
+    d = d.withColumn("_start", F.col("_end") - F.col("_size")).join(
+        _small(shards), ["_key", "_shard"])
     run_end = F.col("_first") + F.col("_run")
     ranges = {
         "cut": (F.col("_first") * F.col("block"), F.least(run_end, F.col("_blocks")) * F.col("block")),
@@ -164,8 +173,6 @@ def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame
     """The mix itself: each document once for each whole pass, and once more
     with the words of its cut ranges (white space after a word stays with it).
     Columns of ``docs``; ``n_chars`` is set anew where there is one."""
-    from loanlens.llm.common import whole_text, word_count
-
     columns = docs.columns
     m = mix(docs.withColumn("_mix_size", word_count(whole_text(text))), "_mix_size", **options)
     pieces = F.regexp_extract_all(F.col(text), F.lit("(?s)[^ \\t\\n\\x0B\\f\\r]++[ \\t\\n\\x0B\\f\\r]*+"), 0)
