@@ -100,6 +100,7 @@ def measure(docs: DataFrame, text: str = "text"):
         "n_dup_lines": F.get(F.transform(
             F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0),
         "n_lines": F.size(lines),
+        "n_stutter": F.size(F.filter(F.col(w), lambda x, i: x == F.get(F.col(w), i - 1))),
         "n_repeat_words": repeated_window_words(F.col(w)),
         "n_letters": letters,
         "n_upper": F.length(F.regexp_replace(t, "[^\\p{Lu}]++", "")),
@@ -118,7 +119,8 @@ def base_failed(m) -> Column:
 #: The rules beyond the base ones. Each compares whole-text counts.
 RULES = (
     Rule("symbols", lambda m: 10 * m("n_symbols") > m("n_words")),
-    Rule("duplicate_lines", lambda m: 10 * m("n_dup_lines") > 3 * m("n_lines")),
+    Rule("duplicate_lines", lambda m: 2 * m("n_dup_lines") > m("n_lines")),
+    Rule("stutter", lambda m: 10 * m("n_stutter") > 3 * m("n_words")),
     Rule("shouting", lambda m: 2 * m("n_upper") > m("n_letters")),
     Rule("exclamation", lambda m: 4 * m("n_shouts") > m("n_words")),
     Rule("few_letters", lambda m: 10 * m("n_letters") < 6 * m("word_chars")),
