@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlens.llm.common import whole_text, word_count
+from loanlens.llm.common import fresh, whole_text, word_count
 from loanlens.session import ensure_checkpoint_dir
 
 WEIGHTS = (3, 1, 2)
@@ -97,6 +97,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET,
     ).drop("_rn", "_cap", "_t", "_w", "_level", "_open")
 
 
+RESULTS = ("source_size", "target", "taken", "whole_passes", "cut_from", "cut_to", "cut2_from", "cut2_to")
+
+
 def _small(table: DataFrame) -> DataFrame:
     """A checkpointed table, broadcast if it is counted to have few rows; else
     the join shuffles."""
@@ -113,10 +116,13 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     ensure_checkpoint_dir(docs.sparkSession)
     key = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
     name = F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    made = ("source_size", "target", "taken", "whole_passes", "cut_from", "cut_to", "cut2_from", "cut2_to")
-    d = docs.drop(*made).withColumns({"_key": key, "_name": name, "_size": F.col(size).cast("long")})
+    kept = [c for c in docs.columns if c not in RESULTS]
+    # input columns travel in one struct, so that none can clash
+    d = docs.select(F.struct(*kept).alias("_in"), F.col(source).alias("source"), key.alias("_key"),
+                    name.alias("_name"), F.col(size).cast("long").alias("_size"))
 
-    sizes = d.groupBy("_key").agg(F.first(source).alias("source"), F.sum("_size").alias("source_size"))
+    sizes = d.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
+    d = d.drop("source")
     every = Window.partitionBy(F.lit(0))
     s = source_targets(sizes, weights, budget, max_repeats)
     s = s.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.min(
@@ -162,34 +168,34 @@ def mix(docs: DataFrame, size: str = "size", source: str = "source", doc_id: str
     for c, (lo, hi) in ranges.items():
         d = d.withColumn(f"{c}_from", inside(lo).cast("long"))
         d = d.withColumn(f"{c}_to", F.greatest(F.col(f"{c}_from"), inside(hi)).cast("long"))
-    return d.withColumn("whole_passes", F.col("_passes")).withColumn(
-        "taken", F.col("_passes") * F.col("_size") + F.col("cut_to") - F.col("cut_from")
-        + F.col("cut2_to") - F.col("cut2_from")).drop(
-        "_key", "_shard", "_name", "_size", "block", "n_shards", "_blocks", "_whole", "_run",
-        "_first", "_passes", "_start", "_end")
+    taken = (F.col("_passes") * F.col("_size") + F.col("cut_to") - F.col("cut_from")
+             + F.col("cut2_to") - F.col("cut2_from"))
+    d = d.withColumns({"whole_passes": F.col("_passes"), "taken": taken})
+    return d.select(*[F.col("_in")[c].alias(c) for c in kept], *RESULTS)
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: each document once for each whole pass, and once more
     with the words of its cut ranges (white space after a word stays with it).
     Columns of ``docs``; ``n_chars`` is set anew where there is one."""
-    columns = docs.columns
-    m = mix(docs.withColumn("_mix_size", word_count(whole_text(text))), "_mix_size", **options)
-    pieces = F.regexp_extract_all(F.col(text), F.lit("(?s)[^ \\t\\n\\x0B\\f\\r]++[ \\t\\n\\x0B\\f\\r]*+"), 0)
+    columns, own = docs.columns, fresh("row")
+    m = mix(docs.select(F.struct(*columns).alias(own), *[F.col(c) for c in ("doc_id", "source")],
+                        word_count(whole_text(text)).alias("_mix_size")), "_mix_size", **options)
+    whole = F.col(own)[text]
+    pieces = F.regexp_extract_all(whole, F.lit("(?s)[^ \\t\\n\\x0B\\f\\r]++[ \\t\\n\\x0B\\f\\r]*+"), 0)
     in_cut = lambda i: ((i >= F.col("cut_from")) & (i < F.col("cut_to"))
                         | (i >= F.col("cut2_from")) & (i < F.col("cut2_to")))
     n_cut = F.col("cut_to") - F.col("cut_from") + F.col("cut2_to") - F.col("cut2_from")
-    part = F.when(n_cut == F.col("_mix_size"), F.col(text)).otherwise(
+    part = F.when(n_cut == F.col("_mix_size"), whole).otherwise(
         F.array_join(F.filter(pieces, lambda _, i: in_cut(i)), ""))
     copies = F.concat(
         F.when(F.col("whole_passes") > 0, F.array_repeat(F.lit(0), F.col("whole_passes").cast("int")))
         .otherwise(F.array().cast("array<int>")),
         F.when(n_cut > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
     out = m.withColumn("_copy", F.explode(copies)).withColumn(
-        text, F.when(F.col("_copy") == 0, F.col(text)).otherwise(part))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*columns)
+        "_text", F.when(F.col("_copy") == 0, whole).otherwise(part))
+    changed = {text: F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[changed.get(c, F.col(own)[c]).alias(c) for c in columns])
 
 
 def sql(weights=WEIGHTS, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=SEED) -> str:
