@@ -99,10 +99,11 @@ def spans(texts: DataFrame, phrases=PHRASES, wordings=WORDINGS, k: int = GRAM,
     diagonals = votes.groupBy(
         "key", "template", "label", "base", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")
     ).agg(F.countDistinct("t_pos").alias("votes"), F.min("t_pos").alias("t_first"), F.max("t_pos").alias("t_last"))
-    # a diagonal goes on from the one before it if it shifts little and matches a later part
+    # neighbouring diagonals that shift little and match different parts belong together: words
+    # put in move the later part to a greater diagonal, words left out to a lesser one
     along = Window.partitionBy("key", "template").orderBy("diagonal")
     goes_on = (F.col("diagonal") - F.lag("diagonal").over(along) <= shift) & (
-        F.col("t_first") > F.lag("t_last").over(along))
+        (F.col("t_first") > F.lag("t_last").over(along)) | (F.col("t_last") < F.lag("t_first").over(along)))
     parts = diagonals.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn(
         "_span", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = parts.groupBy("key", "template", "label", "base", "t_words", "_span").agg(
