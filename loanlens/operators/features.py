@@ -165,14 +165,18 @@ FEATURE_STEPS = (
 
 
 def build_features(df: DataFrame, loan_size_edges: Sequence[float] | None = None,
-                   padded_loan_size: bool = False) -> DataFrame:
+                   padded_loan_size: bool = False, loan_size: bool = True) -> DataFrame:
     """Apply the 11 steps in order; same rows, input untouched.
 
     ``loan_size_edges`` fixes the quartile edges (scoring with training
-    edges); ``padded_loan_size`` uses the per-row padding quartiles.
+    edges); ``padded_loan_size`` uses the per-row padding quartiles;
+    ``loan_size=False`` leaves that bucket out, and with it the passes over
+    the table that its quartiles take.
     """
     def step(frame: DataFrame, fn) -> DataFrame:
         if fn is add_loan_size_bucket:
+            if not loan_size:
+                return frame
             if padded_loan_size:
                 return frame.withColumn("loan_size_bucket", padded_loan_size_bucket())
             return add_loan_size_bucket(frame, loan_size_edges)

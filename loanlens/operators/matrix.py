@@ -44,17 +44,6 @@ def _bad_numeric(v: Column) -> Column:
     return v.isNotNull() & (v != "") & (d.isNull() | F.isnan(d))
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """String columns whose every value is numeric (empty = missing;
-    NaN-like text is not numeric). One aggregate pass for all columns."""
-    if not columns:
-        return []
-    aggs = [F.sum(_bad_numeric(F.col(c)).cast("long")).alias(f"b{i}")
-            for i, c in enumerate(columns)]
-    row = df.agg(*aggs).first()
-    return [c for i, c in enumerate(columns) if not row[f"b{i}"]]
-
-
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) pairs, deduplicated map-side: the profile and the
     vocabulary only need distinct values, so casts run once per value."""
@@ -304,12 +293,3 @@ class MatrixPrep:
 def feature_defaults(matrix: DataFrame, feature_names: Sequence[str]) -> dict[str, float | None]:
     """Per-column median of the (encoded) training matrix."""
     return column_medians(matrix, feature_names)
-
-
-def fill_defaults(df: DataFrame, defaults: dict[str, float | None]) -> DataFrame:
-    """Numeric value, else the training default, else 0.0."""
-    cols = set(defaults)
-    return df.select([
-        F.coalesce(F.col(c).try_cast("double"),
-                   F.lit(defaults[c]).cast("double"), F.lit(0.0)).alias(c) if c in cols
-        else F.col(c) for c in df.columns])

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loanlens.functions.columns import parse_month
 from loanlens.operators.ranking import (assign_segments, exact_quantiles,
                                         grouped_exact_quantiles, running_totals)
 
@@ -105,7 +106,8 @@ def decile_of(pos: Column, n: int) -> Column:
 def decile_lift_table(df: DataFrame, y: str = Y, score: str = SCORE, tie_col: str = "loan_id"
                       ) -> DataFrame:
     """L4 (+ G1, G2): rows ranked by score desc (ties by ``tie_col``) into
-    deciles; n, n_events, event_rate, lift and cumulative columns."""
+    deciles; n, n_events, event_rate, lift and cumulative columns. Without any
+    event the shares of events and the lifts are NULL."""
     src = df.select(F.col(tie_col), F.col(y).cast("int").alias("_y"),
                     F.col(score).cast("double").alias("_s")).filter(
         F.col("_s").isNotNull() & ~F.isnan("_s"))
@@ -120,14 +122,14 @@ def decile_lift_table(df: DataFrame, y: str = Y, score: str = SCORE, tie_col: st
     rate = F.col("n_events") / F.col("n")
     out = tab.select(
         "decile", "n", "n_events", F.round(rate, 6).alias("event_rate"),
-        F.round(rate / F.lit(overall), 6).alias("lift"),
+        F.round(F.try_divide(rate, F.lit(overall)), 6).alias("lift"),
         F.sum("n_events").over(cw).alias("cumulative_events"),
         F.sum("n").over(cw).alias("cumulative_n"))
     return out.select(
         "decile", "n", "n_events", "event_rate", "lift", "cumulative_events",
-        F.round(F.col("cumulative_events") / F.lit(events), 6).alias("cumulative_pct_events"),
-        "cumulative_n",
-        F.round(F.col("cumulative_events") / F.col("cumulative_n") / F.lit(overall), 6)
+        F.round(F.try_divide(F.col("cumulative_events"), F.lit(events)), 6)
+        .alias("cumulative_pct_events"), "cumulative_n",
+        F.round(F.try_divide(F.col("cumulative_events") / F.col("cumulative_n"), F.lit(overall)), 6)
         .alias("cumulative_lift"))
 
 
@@ -149,38 +151,6 @@ def _bin_index(x: Column, interior: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in interior]), lambda e: e <= x))
 
 
-def psi_table(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10,
-              actual_column: str | None = None) -> DataFrame:
-    """L3 per bin: bin, expected_pct, actual_pct, term (after epsilon floor)."""
-    spark = expected.sparkSession
-    actual_column = actual_column or column
-    edges = psi_edges(expected, column, bins)
-    nb = len(edges) - 1
-    schema = "bin int, expected_pct double, actual_pct double, psi_term double"
-    if nb <= 0:
-        return spark.createDataFrame([], schema)
-    interior = edges[1:-1]
-    n_e, n_a = expected.count(), actual.count()
-
-    def counts(frame: DataFrame, col: str, name: str) -> DataFrame:
-        x = F.col(col).cast("double")
-        return (frame.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-                .groupBy(_bin_index(F.col("x"), interior).alias("bin"))
-                .agg(F.count(F.lit(1)).alias(name)))
-
-    # at most `bins` rows each: bounded broadcasts.
-    frame = (spark.range(nb).select(F.col("id").cast("int").alias("bin"))
-             .join(F.broadcast(counts(expected, column, "ce")), "bin", "left")
-             .join(F.broadcast(counts(actual, actual_column, "ca")), "bin", "left"))
-    eps = 1e-6
-    e = F.coalesce(F.col("ce"), F.lit(0)) / F.lit(float(max(n_e, 1)))
-    a = F.coalesce(F.col("ca"), F.lit(0)) / F.lit(float(max(n_a, 1)))
-    e = F.when(e == 0, eps).otherwise(e)
-    a = F.when(a == 0, eps).otherwise(a)
-    return frame.select("bin", e.alias("expected_pct"), a.alias("actual_pct"),
-                        ((a - e) * F.log(a / e)).alias("psi_term"))
-
-
 def psi(expected: DataFrame, actual: DataFrame, column: str, bins: int = 10,
         actual_column: str | None = None) -> float:
     """L3: population stability index of ``actual`` against ``expected``."""
@@ -331,8 +301,11 @@ def reliability_curve(df: DataFrame, y: str = Y, prob: str = "probability_defaul
 
 def per_vintage_auc(df: DataFrame, date_col: str = "issue_d", y: str = Y,
                     score: str = SCORE) -> DataFrame:
-    """ROC-AUC per YYYY-MM vintage; NULL where only one class occurs."""
-    v = df.withColumn("vintage", F.date_format(F.col(date_col), "yyyy-MM"))
+    """ROC-AUC per YYYY-MM vintage (dates, or month texts such as
+    ``Jan-2019``); NULL where only one class occurs. Rows without a readable date
+    belong to no vintage."""
+    month = parse_month(date_col, df.schema[date_col].dataType)
+    v = df.withColumn("vintage", F.date_format(month, "yyyy-MM")).filter(F.col("vintage").isNotNull())
     st = score_table(v, y, score, partition_cols=["vintage"])
     per = st.groupBy("vintage").agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),

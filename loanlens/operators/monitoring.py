@@ -11,11 +11,11 @@ statistic for every column comes out of a few shared jobs:
   statistic of current counts against reference shares, and the
   Jensen-Shannon distance.
 
-Which test decides "drifted" is our documented choice (mirroring common
-drift-report defaults): KS p-value < 0.05 / chi-square p-value < 0.05 for
-small reference samples (<= 1000 rows), normed Wasserstein >= 0.1 /
-Jensen-Shannon >= 0.1 otherwise. p-values are computed on the driver from
-the few scalar statistics.
+The table carries every statistic of a column at every size; which one decides
+"drifted" is a named parameter (normed Wasserstein >= 0.1 and Jensen-Shannon
+>= 0.1 unless asked otherwise; KS and chi-square decide by p-value < 0.05).
+p-values are computed on the driver from the few scalar statistics.
+Dates and timestamps are compared as numbers (days, seconds).
 """
 
 from __future__ import annotations
@@ -23,16 +23,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.functions.columns import NUMERIC_TYPES
 from loanlens.operators.cleaning import prune_empty_columns
-from loanlens.operators.metrics import psi
+from loanlens.operators.metrics import psi_by_column
 from loanlens.operators.ranking import running_totals
 
 TARGET = "target_default"
+DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Least divisor of the normed distance, so that a constant column that moves counts.
+MIN_DEVIATION = 0.001
 
 
 # --- scalar distributions (driver side, on a handful of numbers) ---------------
@@ -56,7 +59,9 @@ def ks_pvalue(d: float, n: int, m: int) -> float:
 
 
 def _gammq(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x)."""
+    """Regularised upper incomplete gamma Q(a, x): series below a + 1, else the
+    continued fraction by the modified Lentz method (Press et al., Numerical
+    Recipes, chapter 6.2)."""
     if x < 0 or a <= 0:
         return float("nan")
     if x == 0:
@@ -99,17 +104,26 @@ def chi2_pvalue(stat: float, dof: int) -> float:
 
 def _split_kinds(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
     types = {f.name: f.dataType for f in df.schema.fields}
-    num = [c for c in columns if isinstance(types[c], NUMERIC_TYPES)]
+    num = [c for c in columns if isinstance(types[c], (*NUMERIC_TYPES, *DATE_TYPES))]
     cat = [c for c in columns if isinstance(types[c], (T.StringType, T.BooleanType))]
     return num, cat
 
 
 def _long(ref: DataFrame, cur: DataFrame, columns: Sequence[str], as_string: bool
           ) -> DataFrame:
+    def value(frame: DataFrame, c: str) -> Column:
+        dtype = frame.schema[c].dataType
+        if as_string:
+            return F.col(c).cast("string")
+        if isinstance(dtype, T.DateType):
+            return F.unix_date(c).cast("double")
+        if isinstance(dtype, DATE_TYPES):
+            return F.col(c).cast("timestamp").cast("double")
+        return F.col(c).cast("double")
+
     def side(frame: DataFrame, name: str) -> DataFrame:
-        cast = "string" if as_string else "double"
         return frame.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value"))
+            F.struct(F.lit(c).alias("column"), value(frame, c).alias("value"))
             for c in columns])).alias("kv")).select(
             F.lit(name).alias("side"), "kv.column", "kv.value")
     # Reference and current stacked with a side flag.
@@ -119,7 +133,8 @@ def _long(ref: DataFrame, cur: DataFrame, columns: Sequence[str], as_string: boo
 
 def numeric_drift_stats(reference: DataFrame, current: DataFrame, columns: Sequence[str]
                         ) -> DataFrame:
-    """(column, n_ref, n_cur, ks_distance, wasserstein_normed) for numeric columns."""
+    """(column, n_ref, n_cur, ks_distance, wasserstein_normed) for numeric and
+    date columns; the distances are NULL where a side has no value."""
     long = _long(reference, current, columns, as_string=False).filter(~F.isnan("value"))
     counts = long.groupBy("column", "value").agg(
         F.sum(F.when(F.col("side") == "reference", 1).otherwise(0)).alias("cr"),
@@ -139,55 +154,82 @@ def numeric_drift_stats(reference: DataFrame, current: DataFrame, columns: Seque
     rt = rt.join(mins, ["column", "_bkt"], "left").withColumn(
         "_next", F.coalesce(F.lead("value").over(w_in), F.col("_next_bmin")))
     j = rt.join(totals, "column")
-    diff = F.abs(F.col("cum_cr") / F.col("n_ref") - F.col("cum_cc") / F.col("n_cur"))
+    diff = F.abs(F.try_divide("cum_cr", "n_ref") - F.try_divide("cum_cc", "n_cur"))
     stats = j.groupBy("column", "n_ref", "n_cur", "sd_ref").agg(
         F.max(diff).alias("ks"),
         F.sum(F.when(F.col("_next").isNotNull(), diff * (F.col("_next") - F.col("value")))
-              .otherwise(0.0)).alias("w1"))
+              .otherwise(diff * 0.0)).alias("w1"))
     return stats.select(
         "column", F.col("n_ref").cast("long").alias("n_ref"),
         F.col("n_cur").cast("long").alias("n_cur"),
         F.round("ks", 6).alias("ks_distance"),
-        F.round(F.when(F.col("sd_ref") > 0, F.col("w1") / F.col("sd_ref")), 6)
+        F.round(F.col("w1") / F.greatest(F.coalesce("sd_ref", F.lit(0.0)), F.lit(MIN_DEVIATION)), 6)
         .alias("wasserstein_normed"))
 
 
 def categorical_drift_stats(reference: DataFrame, current: DataFrame, columns: Sequence[str]
                             ) -> DataFrame:
-    """(column, n_ref, n_cur, n_categories, chi2_statistic, js_distance)."""
+    """(column, n_ref, n_cur, n_categories, chi2_statistic, js_distance, psi).
+
+    A category unseen in the reference is expected half a row's share there, so
+    that it adds to the statistic; PSI floors empty shares at 1e-6."""
     long = _long(reference, current, columns, as_string=True)
     counts = long.groupBy("column", "value").agg(
         F.sum(F.when(F.col("side") == "reference", 1).otherwise(0)).alias("cr"),
         F.sum(F.when(F.col("side") == "current", 1).otherwise(0)).alias("cc"))
     tot = counts.groupBy("column").agg(F.sum("cr").alias("n_ref"), F.sum("cc").alias("n_cur"))
     j = counts.join(tot, "column")
-    p = F.col("cr") / F.col("n_ref")
-    q = F.col("cc") / F.col("n_cur")
+    p = F.try_divide("cr", "n_ref")
+    q = F.try_divide("cc", "n_cur")
     m = (p + q) / 2
-    expected = p * F.col("n_cur")
+    expected = F.try_divide(F.greatest(F.col("cr"), F.lit(0.5)), F.col("n_ref")) * F.col("n_cur")
+    pe, qe = (F.when(x == 0, 1e-6).otherwise(x) for x in (p, q))
 
     def kl(a, b):
         return F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
 
     stats = j.groupBy("column", "n_ref", "n_cur").agg(
         F.count(F.lit(1)).alias("n_categories"),
-        F.sum(F.when(expected > 0, F.pow(F.col("cc") - expected, 2) / expected)
-              .otherwise(0.0)).alias("chi2"),
+        F.sum(F.try_divide(F.pow(F.col("cc") - expected, 2), expected)).alias("chi2"),
+        F.sum((qe - pe) * F.log(qe / pe)).alias("psi"),
         F.sum(0.5 * kl(p, m) + 0.5 * kl(q, m)).alias("js_div"))
     return stats.select("column", F.col("n_ref").cast("long").alias("n_ref"),
                         F.col("n_cur").cast("long").alias("n_cur"),
                         F.col("n_categories").cast("long").alias("n_categories"),
                         F.round("chi2", 6).alias("chi2_statistic"),
                         F.round(F.sqrt(F.greatest(F.col("js_div"), F.lit(0.0))), 6)
-                        .alias("js_distance"))
+                        .alias("js_distance"), F.round("psi", 6).alias("psi"))
+
+
+DRIFT_SCHEMA = (
+    "section string, column string, kind string, method string, statistic double, "
+    "p_value double, threshold double, drifted boolean, ks_distance double, "
+    "ks_p_value double, wasserstein_normed double, chi2_statistic double, "
+    "chi2_p_value double, js_distance double, psi double")
+
+
+def _as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles, dates as days and timestamps as seconds."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select([
+        (F.unix_date(c) if isinstance(types[c], T.DateType)
+         else F.col(c).cast("timestamp") if isinstance(types[c], DATE_TYPES) else F.col(c))
+        .cast("double").alias(c) for c in columns])
 
 
 def drift_table(reference: DataFrame, current: DataFrame, target: str = TARGET,
-                columns: Sequence[str] | None = None, small_sample: int = 1000,
+                columns: Sequence[str] | None = None,
+                numeric_test: str = "wasserstein_normed",
+                categorical_test: str = "jensenshannon",
                 threshold: float = 0.1, alpha: float = 0.05) -> DataFrame:
-    """O1 + O2: one row per column: section, column, kind, method, statistic,
-    p_value, threshold, drifted. Empty columns are pruned first (B8); the
-    target gets its own section when both frames carry it."""
+    """O1 + O2: one row per column with every statistic of its kind, PSI, and
+    the verdict of the chosen test: ``wasserstein_normed`` or ``ks`` for numbers
+    and dates, ``jensenshannon`` or ``chisquare`` for categories. Empty columns
+    are pruned first (B8); the target gets its own section when both frames
+    carry it."""
+    if numeric_test not in ("wasserstein_normed", "ks") or categorical_test not in (
+            "jensenshannon", "chisquare"):
+        raise ValueError(f"unknown test {numeric_test!r} or {categorical_test!r}")
     spark = reference.sparkSession
     reference, current, _ = prune_empty_columns(reference, current)
     shared = [c for c in reference.columns if c in current.columns]
@@ -196,45 +238,36 @@ def drift_table(reference: DataFrame, current: DataFrame, target: str = TARGET,
     if target in reference.columns and target in current.columns:
         sections.append(("target", [target]))
     rows = []
+
+    def verdict(method, statistic, p_value):
+        if p_value is not None:
+            return method, statistic, p_value, alpha, p_value == p_value and p_value < alpha
+        return method, statistic, None, threshold, statistic is not None and statistic >= threshold
+
     for section, scols in sections:
         num, cat = _split_kinds(reference, scols)
         if section == "target":
             num, cat = [], scols  # the label is a class, not a measure
         if num:
+            psi = {r["feature"]: r["psi"] for r in psi_by_column(
+                _as_numbers(reference, num), _as_numbers(current, num), num).collect()}
             for r in numeric_drift_stats(reference, current, num).collect():
-                small = r["n_ref"] <= small_sample
-                if small:
-                    pv = ks_pvalue(r["ks_distance"], r["n_ref"], r["n_cur"])
-                    rows.append((section, r["column"], "numerical", "ks", r["ks_distance"], pv,
-                                 alpha, pv < alpha))
-                else:
-                    w = r["wasserstein_normed"]
-                    rows.append((section, r["column"], "numerical", "wasserstein_normed", w,
-                                 None, threshold, w is not None and w >= threshold))
+                ks, w = r["ks_distance"], r["wasserstein_normed"]
+                pv = ks_pvalue(ks, r["n_ref"], r["n_cur"]) if ks is not None else None
+                chosen = (verdict("ks", ks, pv) if numeric_test == "ks"
+                          else verdict("wasserstein_normed", w, None))
+                rows.append((section, r["column"], "numerical", *chosen, ks, pv, w, None, None,
+                             None, psi.get(r["column"])))
         if cat:
             for r in categorical_drift_stats(reference, current, cat).collect():
-                if r["n_ref"] <= small_sample:
-                    dof = max(int(r["n_categories"]) - 1, 0)
-                    pv = chi2_pvalue(r["chi2_statistic"], dof)
-                    rows.append((section, r["column"], "categorical", "chisquare",
-                                 r["chi2_statistic"], pv, alpha,
-                                 pv == pv and pv < alpha))
-                else:
-                    rows.append((section, r["column"], "categorical", "jensenshannon",
-                                 r["js_distance"], None, threshold,
-                                 r["js_distance"] >= threshold))
-    schema = ("section string, column string, kind string, method string, statistic double, "
-              "p_value double, threshold double, drifted boolean")
-    return spark.createDataFrame(rows, schema)
-
-
-def column_psi(reference: DataFrame, current: DataFrame, columns: Sequence[str],
-               bins: int = 10) -> DataFrame:
-    """PSI of each numeric column (reference quantile edges)."""
-    spark = reference.sparkSession
-    return spark.createDataFrame(
-        [(c, round(psi(reference, current, c, bins), 6)) for c in columns],
-        "column string, psi double")
+                chi, js = r["chi2_statistic"], r["js_distance"]
+                dof = max(int(r["n_categories"]) - 1, 0)
+                pv = chi2_pvalue(chi, dof) if chi is not None else None
+                chosen = (verdict("chisquare", chi, pv) if categorical_test == "chisquare"
+                          else verdict("jensenshannon", js, None))
+                rows.append((section, r["column"], "categorical", *chosen, None, None, None, chi,
+                             pv, js, r["psi"]))
+    return spark.createDataFrame(rows, DRIFT_SCHEMA)
 
 
 def dataset_drift(table: DataFrame, share: float = 0.5) -> DataFrame:

@@ -39,13 +39,16 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
 
 
 def _as_double(df: DataFrame, order_col: str) -> Column:
-    """Monotone double image of an orderable column (dates as epoch days)."""
+    """Monotone double image of an orderable column (dates as epoch days, texts
+    as their first six bytes, exact in a double; equal images share a bucket)."""
     dtype = df.schema[order_col].dataType
     c = F.col(order_col)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dtype, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
     return c.cast("double")
 
 

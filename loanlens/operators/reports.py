@@ -45,14 +45,12 @@ def audit_table(df: DataFrame, columns: Sequence[str] | None = None,
         for i, c in enumerate(columns):
             row_aggs += [F.count(F.col(c)).alias(f"_nn{i}"),
                          F.approx_count_distinct(F.col(c)).alias(f"_d{i}")]
-        wide = df.agg(*row_aggs)
-        parts = [wide.select(F.lit(i).alias("position"), F.lit(c).alias("column"),
-                             (F.col("_n") - F.col(f"_nn{i}")).alias("missing_count"),
-                             F.col("_n").alias("_n"), F.col(f"_d{i}").alias("unique_values"))
-                 for i, c in enumerate(columns)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        # one scan; the wide row is turned into one row a column
+        out = df.agg(*row_aggs).select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                     (F.col("_n") - F.col(f"_nn{i}")).alias("missing_count"),
+                     F.col("_n").alias("_n"), F.col(f"_d{i}").alias("unique_values"))
+            for i, c in enumerate(columns)])).alias("r")).select("r.*")
     else:
         counts = _unpivot_strings(df, columns).groupBy("position", "column", "value").agg(
             F.count(F.lit(1)).alias("cnt"))
@@ -163,29 +161,26 @@ def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
-                       chunk: int = 200) -> DataFrame:
+                       chunk: int = 2000) -> DataFrame:
     """pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
-    Each pair is one ``corr`` aggregate (null pairs skipped per pair);
-    pairs are evaluated ``chunk`` at a time in single scans.
+    Each pair is one ``corr`` aggregate (null pairs skipped per pair), ``chunk``
+    of them to a scan; both orders of a pair come from the same aggregate.
     """
     cols = _numeric(df, columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    parts = []
+    out = None
     for start in range(0, len(pairs), chunk):
         batch = pairs[start:start + chunk]
         wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{j}")
                         for j, (a, b) in enumerate(batch)])
-        long = wide.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                     F.col(f"_c{j}").alias("corr")) for j, (a, b) in enumerate(batch)])).alias("p"))
-        parts.append(long.select("p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    mirrored = out.filter(F.col("col_a") != F.col("col_b")).select(
-        F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "corr")
-    return out.unionByName(mirrored).select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+        both = [(x, y, j) for j, (a, b) in enumerate(batch) for x, y in {(a, b), (b, a)}]
+        part = wide.select(F.explode(F.array(*[
+            F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
+                     F.col(f"_c{j}").alias("corr")) for x, y, j in sorted(both)])).alias("p")
+        ).select("p.*")
+        out = part if out is None else out.unionByName(part)
+    return out.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
 
 
 def target_correlation(df: DataFrame, target: str = TARGET,
@@ -250,7 +245,3 @@ def boxplot_stats(df: DataFrame, column: str, by: str = TARGET) -> DataFrame:
     return whisk.select(F.col("_g").alias(by), F.lit(column).alias("feature"),
                         *[F.round(c, 6).alias(c) for c in
                           ("q1", "median", "q3", "whisker_low", "whisker_high")], "n")
-
-
-def empty_schema_frame(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.sparkSession.createDataFrame([], schema)

@@ -16,7 +16,7 @@ from loanlens.operators import decisions as dec
 from loanlens.operators import features as fe
 from loanlens.operators import metrics as me
 from loanlens.operators import reports as rp
-from loanlens.operators.cleaning import drop_leaky_columns
+from loanlens.operators.cleaning import drop_leaky_columns, inf_to_null
 from loanlens.operators.splits import split_bounds
 from loanlens.plans import frames as fr
 from loanlens.plans import oracle as oq
@@ -56,7 +56,7 @@ def _drop_leaky(spark, sf):
     "SELECT loan_id, income_to_loan_ratio, revol_bal_to_income, installment_to_income "
     "FROM feat"))
 def _feature_ratios(spark, sf):
-    return fr.features(spark, sf).select("loan_id", "income_to_loan_ratio",
+    return fr.row_features(spark, sf).select("loan_id", "income_to_loan_ratio",
                                          "revol_bal_to_income", "installment_to_income")
 
 
@@ -64,14 +64,14 @@ def _feature_ratios(spark, sf):
     "SELECT loan_id, revol_util_bucket, dti_bucket, inquiry_risk_bucket, delinquency_risk "
     "FROM feat"))
 def _feature_buckets(spark, sf):
-    return fr.features(spark, sf).select("loan_id", "revol_util_bucket", "dti_bucket",
+    return fr.row_features(spark, sf).select("loan_id", "revol_util_bucket", "dti_bucket",
                                          "inquiry_risk_bucket", "delinquency_risk")
 
 
 @register("employment_stability", q(
     "SELECT loan_id, emp_length, emp_length_clean, employment_stability FROM feat"))
 def _employment(spark, sf):
-    return fr.features(spark, sf).select("loan_id", "emp_length", "emp_length_clean",
+    return fr.row_features(spark, sf).select("loan_id", "emp_length", "emp_length_clean",
                                          "employment_stability")
 
 
@@ -81,7 +81,7 @@ def _employment(spark, sf):
     "strftime(earliest_cr_line, '%Y-%m-%d') AS earliest_cr_line, "
     "round(credit_history_years, 6) AS credit_history_years FROM feat"))
 def _credit_history(spark, sf):
-    return fr.features(spark, sf).select(
+    return fr.row_features(spark, sf).select(
         "loan_id", F.date_format("issue_d", "yyyy-MM-dd").alias("issue_d"),
         F.date_format("earliest_cr_line", "yyyy-MM-dd").alias("earliest_cr_line"),
         F.round("credit_history_years", 6).alias("credit_history_years"))
@@ -186,7 +186,7 @@ _RATE_ORDER = {
 
 def _rate_query(key: str) -> Query:
     order, labels = _RATE_ORDER.get(key, ("rate", None))
-    return lambda spark, sf: rp.default_rate(fr.features(spark, sf), key, order=order,
+    return lambda spark, sf: rp.default_rate(fr.row_features(spark, sf), key, order=order,
                                              labels=labels)
 
 
@@ -242,7 +242,7 @@ FROM feat GROUP BY dti_segment ORDER BY default_rate DESC""")
 
 @register("dti_segmentation", DTI_SEGMENTATION_SQL)
 def dti_segmentation_query(spark, sf):
-    return rp.dti_segmentation(fr.features(spark, sf))
+    return rp.dti_segmentation(fr.row_features(spark, sf))
 
 
 @register("class_balance", q(
@@ -256,32 +256,42 @@ def _class_balance(spark, sf):
 
 CORR_COLUMNS = ("loan_amnt", "int_rate", "installment", "annual_inc", "dti", "revol_util",
                 "revol_bal", "inq_last_6mths", "delinq_2yrs", "open_acc", "pub_rec",
-                "total_acc", "mths_since_last_delinq")
+                "total_acc", "mths_since_last_delinq", "income_to_loan_ratio", "emp_length_clean",
+                "credit_history_years", "revol_bal_to_income", "installment_to_income",
+                "credit_exposure_score")
 
 
-@register("target_correlation", q(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(corr({c}, target_default), 6) AS corr FROM clean"
-    for c in CORR_COLUMNS)))
-def _target_corr(spark, sf):
-    return rp.target_correlation(fr.cleaned(spark, sf), columns=CORR_COLUMNS)
+def _finite(c: str) -> str:
+    return f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END"
 
 
-def _corr_sql() -> str:
-    parts = []
-    cols = CORR_COLUMNS[:8]
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) "
-                         f"AS corr FROM clean")
-            if a != b:
-                parts.append(f"SELECT '{b}' AS col_a, '{a}' AS col_b, round(corr({a}, {b}), 6) "
-                             f"AS corr FROM clean")
-    return q(" UNION ALL ".join(parts))
+def _corr_rows(pairs: list[tuple[str, str]], row: str) -> str:
+    """One scan with a correlation per pair, then one row each; ``row`` has the
+    label columns of pair ``{a}``, ``{b}``."""
+    return (", wide AS MATERIALIZED (SELECT "
+            + ", ".join(f"round(corr({_finite(a)}, {_finite(b)}), 6) AS c{i}"
+                        for i, (a, b) in enumerate(pairs)) + " FROM feat), corrs AS ("
+            + " UNION ALL ".join(f"SELECT {row.format(a=a, b=b)}, c{i} AS corr FROM wide"
+                                 for i, (a, b) in enumerate(pairs)) + ")")
+
+
+_TARGET_CORR = _corr_rows([(c, "target_default") for c in CORR_COLUMNS], "'{a}' AS feature")
+
+
+def _corr_frame(spark, sf):
+    return fr.row_features(spark, sf).transform(inf_to_null)
+
+
+@register("target_correlation", q(_TARGET_CORR + " SELECT * FROM corrs"))
+def _target_corr(spark, sf):
+    return rp.target_correlation(_corr_frame(spark, sf), columns=CORR_COLUMNS)
 
 
-@register("correlation_matrix", _corr_sql())
+@register("correlation_matrix", q(_corr_rows(
+    [(a, b) for a in CORR_COLUMNS for b in CORR_COLUMNS], "'{a}' AS col_a, '{b}' AS col_b")
+    + " SELECT * FROM corrs"))
 def _corr_matrix(spark, sf):
-    return rp.correlation_matrix(fr.cleaned(spark, sf), columns=CORR_COLUMNS[:8])
+    return rp.correlation_matrix(_corr_frame(spark, sf), columns=CORR_COLUMNS)
 
 
 @register("histogram", q("""
@@ -345,14 +355,14 @@ SELECT round(sum(neg * (cum_pos - pos * 0.5)) / (max(P) * max(N)), 6) AS roc_auc
        round(2 * (sum(neg * (cum_pos - pos * 0.5)) / (max(P) * max(N))) - 1, 6) AS gini
 FROM c, t"""))
 def _roc_auc(spark, sf):
-    return me.binary_metrics(fr.scored(spark, sf), "target_default", PROB).select(
+    return me.binary_metrics(fr.scored_table(spark, sf), "target_default", PROB).select(
         "roc_auc", "gini")
 
 
 @register("ks", q(_SCORE_TABLE + """
 SELECT round(greatest(max(cum_pos / P - cum_neg / N), 0.0), 6) AS ks FROM c, t"""))
 def _ks(spark, sf):
-    return me.binary_metrics(fr.scored(spark, sf), "target_default", PROB).select("ks")
+    return me.binary_metrics(fr.scored_table(spark, sf), "target_default", PROB).select("ks")
 
 
 @register("roc_points", q(_SCORE_TABLE + """
@@ -360,7 +370,7 @@ SELECT 'Infinity'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
 UNION ALL
 SELECT score, round(cum_neg / N, 6), round(cum_pos / P, 6) FROM c, t"""))
 def _roc_points(spark, sf):
-    return me.roc_points(fr.scored(spark, sf), "target_default", PROB)
+    return me.roc_points(fr.scored_table(spark, sf), "target_default", PROB)
 
 
 @register("decile_lift", q("""
@@ -379,7 +389,7 @@ SELECT decile, n, CAST(n_events AS BIGINT) AS n_events,
        round(cumulative_events / cumulative_n / rate, 6) AS cumulative_lift
 FROM cum, o"""))
 def _decile_lift(spark, sf):
-    return me.decile_lift_table(fr.scored(spark, sf), "target_default", PROB)
+    return me.decile_lift_table(fr.scored_table(spark, sf), "target_default", PROB)
 
 
 @register("psi_score", q(
@@ -387,7 +397,7 @@ def _decile_lift(spark, sf):
     "te AS (SELECT * FROM splitted WHERE split = 'test') SELECT psi FROM "
     + psi_sql("tr", "te", "probability_default")))
 def _psi_score(spark, sf):
-    s = fr.split_scored(spark, sf).cache()
+    s = fr.split_scored(spark, sf)
     val = me.psi(s.filter("split = 'train'"), s.filter("split = 'test'"), PROB)
     return spark.createDataFrame([(round(val, 6),)], "psi double").select(
         F.col("psi").cast("double"))
@@ -401,7 +411,7 @@ PSI_FEATURES = ("loan_amnt", "int_rate", "dti", "revol_util", "annual_inc")
     "te AS (SELECT * FROM splitted WHERE split = 'test') "
     + " UNION ALL ".join(f"SELECT * FROM {psi_sql('tr', 'te', c)}" for c in PSI_FEATURES)))
 def _psi_features(spark, sf):
-    s = fr.split_scored(spark, sf).cache()
+    s = fr.split_scored(spark, sf)
     return me.psi_by_column(s.filter("split = 'train'"), s.filter("split = 'test'"),
                             PSI_FEATURES)
 
@@ -460,7 +470,7 @@ def _sweep_sql() -> str:
 
 @register("threshold_sweep", _sweep_sql())
 def _sweep(spark, sf):
-    return me.sweep_thresholds(fr.scored(spark, sf), "target_default", PROB)
+    return me.sweep_thresholds(fr.scored_table(spark, sf), "target_default", PROB)
 
 
 @register("brier", q(
@@ -476,7 +486,7 @@ def _brier(spark, sf):
     + "], lambda e: e < probability_default)) AS bin, round(avg(target_default), 6) AS prob_true,"
     " round(avg(probability_default), 6) AS prob_pred, count(*) AS n FROM scored GROUP BY 1"))
 def _reliability(spark, sf):
-    return me.reliability_curve(fr.scored(spark, sf), "target_default", PROB)
+    return me.reliability_curve(fr.scored_table(spark, sf), "target_default", PROB)
 
 
 @register("vintage_auc", q("""
@@ -491,7 +501,7 @@ SELECT vintage,
        CAST(sum(pos) + sum(neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS n_pos
 FROM c GROUP BY vintage"""))
 def _vintage_auc(spark, sf):
-    return me.per_vintage_auc(fr.scored(spark, sf), "issue_d", "target_default", PROB)
+    return me.per_vintage_auc(fr.scored_table(spark, sf), "issue_d", "target_default", PROB)
 
 
 # --- 2.M decisions -----------------------------------------------------------
@@ -559,22 +569,20 @@ SELECT coalesce(e.vintage, r.vintage) AS vintage, e.auc AS exposure, r.auc AS ra
 FROM (SELECT * FROM a WHERE model = 'exposure') e
 FULL OUTER JOIN (SELECT * FROM a WHERE model = 'rate') r ON e.vintage = r.vintage"""))
 def _vintage_by_model(spark, sf):
-    s = fr.scored(spark, sf).withColumn(
+    s = fr.scored_table(spark, sf).withColumn(
         "alt_score", F.floor(F.col("int_rate") * 10) / F.lit(1000.0))
     return me.vintage_auc_by_model(s, {"exposure": PROB, "rate": "alt_score"})
 
 
 @register("top_correlations", q(
-    "SELECT * FROM (SELECT 'top' AS side, feature, corr FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(corr({c}, target_default), 6) AS corr FROM clean"
-        for c in CORR_COLUMNS) + ") WHERE corr IS NOT NULL ORDER BY corr DESC, feature LIMIT 5) "
-    "UNION ALL SELECT * FROM (SELECT 'bottom' AS side, feature, corr FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(corr({c}, target_default), 6) AS corr FROM clean"
-        for c in CORR_COLUMNS) + ") WHERE corr IS NOT NULL ORDER BY corr ASC, feature LIMIT 5)"))
+    _TARGET_CORR + " SELECT * FROM (SELECT 'top' AS side, feature, corr FROM corrs "
+    "WHERE corr IS NOT NULL ORDER BY corr DESC, feature LIMIT 15) "
+    "UNION ALL SELECT * FROM (SELECT 'bottom' AS side, feature, corr FROM corrs "
+    "WHERE corr IS NOT NULL ORDER BY corr ASC, feature LIMIT 15)"))
 def _top_correlations(spark, sf):
-    """H2: strongest positive / negative correlates of the target (top-k report)."""
-    corr = rp.target_correlation(fr.cleaned(spark, sf), columns=CORR_COLUMNS)
-    top, bottom = rp.top_bottom(corr, 5)
+    """H2: the 15 strongest positive / negative correlates of the target (top-k report)."""
+    corr = rp.target_correlation(_corr_frame(spark, sf), columns=CORR_COLUMNS)
+    top, bottom = rp.top_bottom(corr, 15)
     return (top.select(F.lit("top").alias("side"), "feature", "corr")
             .unionByName(bottom.select(F.lit("bottom").alias("side"), "feature", "corr")))
 
@@ -619,7 +627,7 @@ LEFT JOIN h ON b.bin = h.bin""")
 @register("histogram_score", _histogram_sql("probability_default", "scored"))
 def _histogram_score(spark, sf):
     """F14 on the score: 50 equal-width bins of the probability column."""
-    return rp.histogram(fr.scored(spark, sf), PROB, 50)
+    return rp.histogram(fr.scored_table(spark, sf), PROB, 50)
 
 
 def _boxplot_sql(column: str) -> str:

@@ -16,7 +16,7 @@ from loanlens.plans import frames as fr
 from loanlens.plans.catalog import register
 from loanlens.plans.jobs import API_CATEGORICAL_FIELDS, compare_models, run_training
 from loanlens.plans.oracle import q
-from loanlens.session import materialize
+from loanlens.session import materialize, scratch
 from loanlens.sources.fixture import LOANS_SQL, loan_view
 from loanlens.sources.readers import applications_from_loans
 
@@ -61,7 +61,7 @@ def _vocab(spark, sf):
         f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}"
         for c in MATRIX_CATEGORICAL) + " FROM feat"))
 def _label_encoding(spark, sf):
-    feats = fr.features(spark, sf).cache()
+    feats = fr.features(spark, sf)
     m = MatrixPrep().fit(feats).transform(feats, assemble=False)
     return m.select("loan_id", *[F.col(c).cast("int").alias(c) for c in MATRIX_CATEGORICAL])
 
@@ -92,7 +92,7 @@ def _defaults_sql() -> str:
 
 @register("feature_defaults", _defaults_sql())
 def _feature_defaults(spark, sf):
-    split = fr.split_features(spark, sf).cache()
+    split = fr.split_features(spark, sf)
     prep = MatrixPrep().fit(split)
     train = prep.transform(split, assemble=False, keep=["split"]).filter("split = 'train'")
     t = median_table(train, prep.feature_names)
@@ -168,9 +168,9 @@ cum AS (SELECT *, sum(cr) OVER (PARTITION BY "column" ORDER BY v ROWS UNBOUNDED
                lead(v) OVER (PARTITION BY "column" ORDER BY v) AS nxt FROM cnt)
 SELECT "column", CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur,
        round(max(abs(cum_cr / n_ref - cum_cc / n_cur)), 6) AS ks_distance,
-       round(CASE WHEN sd > 0 THEN sum(CASE WHEN nxt IS NOT NULL THEN
-             abs(cum_cr / n_ref - cum_cc / n_cur) * (nxt - v) ELSE 0 END) / sd END, 6)
-         AS wasserstein_normed
+       round(sum(CASE WHEN nxt IS NOT NULL THEN
+             abs(cum_cr / n_ref - cum_cc / n_cur) * (nxt - v) ELSE 0 END)
+             / greatest(coalesce(sd, 0), 0.001), 6) AS wasserstein_normed
 FROM cum JOIN tot USING ("column") GROUP BY "column", n_ref, n_cur, sd"""
 
 
@@ -194,12 +194,15 @@ j AS (SELECT c.*, sum(cr) OVER (PARTITION BY "column") AS n_ref,
 s AS (SELECT *, cr / n_ref AS p, cc / n_cur AS q_ FROM j)
 SELECT "column", CAST(max(n_ref) AS BIGINT) AS n_ref, CAST(max(n_cur) AS BIGINT) AS n_cur,
        count(*) AS n_categories,
-       round(sum(CASE WHEN p * n_cur > 0 THEN pow(cc - p * n_cur, 2) / (p * n_cur)
-                 ELSE 0 END), 6) AS chi2_statistic,
+       round(sum(pow(cc - greatest(cr, 0.5) / n_ref * n_cur, 2)
+                 / (greatest(cr, 0.5) / n_ref * n_cur)), 6) AS chi2_statistic,
        round(sqrt(greatest(sum(
            0.5 * CASE WHEN p > 0 THEN p * ln(p / ((p + q_) / 2)) ELSE 0 END
          + 0.5 * CASE WHEN q_ > 0 THEN q_ * ln(q_ / ((p + q_) / 2)) ELSE 0 END), 0)), 6)
-         AS js_distance
+         AS js_distance,
+       round(sum((CASE WHEN q_ = 0 THEN 1e-6 ELSE q_ END - CASE WHEN p = 0 THEN 1e-6 ELSE p END)
+         * ln(CASE WHEN q_ = 0 THEN 1e-6 ELSE q_ END / CASE WHEN p = 0 THEN 1e-6 ELSE p END)), 6)
+         AS psi
 FROM s GROUP BY "column\""""
 
 
@@ -211,9 +214,8 @@ def _drift_categorical(spark, sf):
 
 @register("drift_report")
 def _drift_report(spark, sf):
-    """O1-O3: decision table over the event halves (rows-only)."""
-    ref, cur = fr.events_halves(spark, sf)
-    return mo.drift_table(ref.drop("event_id", "props"), cur.drop("event_id", "props"))
+    """O1-O3: drift table of every column of the event halves."""
+    return mo.drift_table(*fr.events_halves(spark, sf))
 
 
 # --- 2.K / 2.N models (rows-only) -----------------------------------------------
@@ -240,11 +242,11 @@ def _train_boosted(spark, sf):
 
 @register("model_comparison")
 def _model_comparison(spark, sf):
-    return compare_models(spark, loan_view(spark, sf), QUERY_MODELS, shap_sample=200)
+    return compare_models(spark, loan_view(spark, sf), QUERY_MODELS)
 
 
 def _boosted_setup(spark, sf):
-    split = fr.split_features(spark, sf).cache()
+    split = fr.split_features(spark, sf)
     prep = MatrixPrep().fit(split)
     m = materialize(prep.transform(split, keep=["split", "issue_d"]), "matrix")
     model = tr.train(m.filter("split = 'train'"), "xgboost", **QUERY_MODELS["xgboost"])
@@ -312,9 +314,150 @@ def _score_stream(spark, sf):
                                    issue_month="Jan-2002")
 
 
-@register("drift_stream")
+def _drift_stream_sql() -> str:
+    probs = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
+    present = "value IS NOT NULL AND NOT isnan(value)"
+    b = "len(list_filter(i, lambda e: e <= value))"
+    floor = "CASE WHEN coalesce(c, 0) = 0 THEN 1e-6 ELSE c / {n} END"
+    return f"""{_HALVES},
+edges AS (SELECT list_sort(list_distinct(quantile_cont(value, {probs}))) AS l
+          FROM ref WHERE {present}),
+inn AS (SELECT l[2:len(l) - 1] AS i FROM edges),
+sh AS (SELECT b, {floor.format(n="(SELECT count(*) FROM ref)")} AS s
+       FROM (SELECT unnest(range(len(i) + 1)) AS b FROM inn)
+       LEFT JOIN (SELECT {b} AS b, count(*) AS c FROM ref, inn WHERE {present} GROUP BY 1)
+       USING (b)),
+w AS (SELECT date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1),
+wb AS (SELECT date_trunc('day', ts) AS d, {b} AS b, count(*) AS c
+       FROM events, inn WHERE {present} GROUP BY 1, 2)
+SELECT strftime(d, '%Y-%m-%d') AS window_start, n, round(sum((a - s) * ln(a / s)), 6) AS psi
+FROM (SELECT w.d, w.n, s, {floor.format(n="n")} AS a
+      FROM w CROSS JOIN sh LEFT JOIN wb ON w.d = wb.d AND sh.b = wb.b) GROUP BY d, n"""
+
+
+@register("drift_stream", _drift_stream_sql())
 def _drift_stream(spark, sf):
-    """Windowed PSI of event values against the reference half."""
+    """Windowed PSI of event values against the reference half, every day of
+    the table."""
     from loanlens.streaming.drift_stream import run_drift_stream_once
-    return run_drift_stream_once(spark, sf)
-
+    return run_drift_stream_once(spark, sf).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "n", "psi")
+
+
+# --- 2.A sources and sinks: written, read back, compared with the tables themselves ---
+
+_RAW_COLUMNS = ("loan_amnt", "term", "int_rate", "grade", "emp_length", "annual_inc", "dti",
+                "issue_d", "mths_since_last_delinq")
+
+
+@register("raw_csv_round_trip", (
+    f"WITH {LOANS_SQL} SELECT loan_id, " + ", ".join(
+        "nullif(emp_length, 'n/a') AS emp_length" if c == "emp_length" else c
+        for c in _RAW_COLUMNS[:-1])
+    + ", CASE WHEN loan_id % 3 = 0 THEN mths_since_last_delinq END AS open_act_il, "
+      "'a \"quoted\"' || chr(10) || 'line, ' || loan_id AS \"desc\" FROM loans"))
+def _raw_csv(spark, sf):
+    """A1: the loans as a raw CSV export - an empty id column, gaps in a numeric
+    column, quotes and line breaks in a text - read back and typed by what its
+    columns hold. The rows' generated keys must be unique; the loan's own number
+    travels as a plain column."""
+    from loanlens.sources.readers import load_raw_data
+    loans = loan_view(spark, sf).select(
+        F.lit(None).cast("string").alias("id"), F.col("loan_id").alias("number"),
+        *_RAW_COLUMNS[:-1],
+        F.when(F.col("loan_id") % 3 == 0, F.col("mths_since_last_delinq")).alias("open_act_il"),
+        F.concat(F.lit('a "quoted"\nline, '), F.col("loan_id").cast("string")).alias("desc"))
+    path = scratch(spark, "raw-csv")
+    loans.write.option("header", "true").option("escape", '"').option("nullValue", "").csv(path)
+    raw = load_raw_data(spark, path)
+    keys = raw.agg(F.countDistinct("loan_id").alias("d"), F.count(F.lit(1)).alias("n")).first()
+    if keys["d"] != keys["n"]:
+        raise AssertionError("generated keys are not unique")
+    return raw.select(F.col("number").cast("long").alias("loan_id"), *_RAW_COLUMNS[:-1],
+                      "open_act_il", "desc")
+
+
+@register("snapshots_read_back", _HALVES + " SELECT 'reference' AS side, event_id, value FROM ref "
+          "UNION ALL SELECT 'current', event_id, value FROM cur")
+def _snapshots(spark, sf):
+    """A2: the two event halves written as snapshots and read back."""
+    from loanlens.sources.readers import read_snapshots
+    paths = []
+    for name, df in zip(("reference", "current"), fr.events_halves(spark, sf), strict=True):
+        paths.append(scratch(spark, name))
+        df.write.parquet(paths[-1])
+    ref, cur = read_snapshots(spark, *paths)
+    return ref.select(F.lit("reference").alias("side"), "event_id", "value").unionByName(
+        cur.select(F.lit("current").alias("side"), "event_id", "value"))
+
+
+def _report_round_trip(fmt):
+    def run(spark, sf):
+        from loanlens.sources.readers import read_processed
+        from loanlens.sources.sinks import write_report
+        report = fr.cleaned(spark, sf).groupBy("grade", "term").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("target_default").alias("n_default"))
+        path = write_report(report, scratch(spark, f"report-{fmt}"), fmt)
+        return read_processed(spark, path, fmt).select(
+            "grade", "term", *[F.col(c).cast("long").alias(c) for c in ("n", "n_default")])
+    return run
+
+
+for _fmt in ("csv", "parquet"):  # A3/A4 + A5
+    register(f"report_{_fmt}_round_trip", q(
+        "SELECT grade, term, count(*) AS n, CAST(sum(target_default) AS BIGINT) AS n_default "
+        "FROM clean GROUP BY grade, term"))(_report_round_trip(_fmt))
+
+_WAREHOUSE_PROBE = ("loan_id", "loan_amnt", "grade", "annual_inc", "dti", "purpose")
+
+
+@register("warehouse_table", q("SELECT " + ", ".join(_WAREHOUSE_PROBE) + " FROM clean"))
+def _warehouse(spark, sf):
+    """The cleaned loans as a managed table in the warehouse, read back."""
+    import uuid
+
+    from loanlens.sources.sinks import load_warehouse
+    table = f"fact_loans_{uuid.uuid4().hex}"
+    load_warehouse(fr.cleaned(spark, sf), table)
+    return spark.table(table).select(*_WAREHOUSE_PROBE)
+
+
+@register("application_feed", (
+    f"WITH {LOANS_SQL} SELECT loan_id AS app_id, loan_amnt, grade, annual_inc, "
+    "delinq_2yrs, earliest_cr_line FROM loans"))
+def _application_feed(spark, sf):
+    """Applications landed as JSON lines and read with the feed's schema."""
+    from loanlens.sources.readers import read_applications
+    path = scratch(spark, "feed")
+    applications_from_loans(loan_view(spark, sf)).write.json(path)
+    return read_applications(spark, path).select(
+        "app_id", "loan_amnt", "grade", "annual_inc",
+        F.col("delinq_2yrs").cast("double").alias("delinq_2yrs"), "earliest_cr_line")
+
+
+@register("artifact_round_trip", q(
+    "SELECT DISTINCT grade AS value FROM clean WHERE grade IS NOT NULL"))
+def _artifact(spark, sf):
+    """A vocabulary as a JSON artifact, written and read back."""
+    from loanlens.sources.sinks import read_json_artifact, write_json_artifact
+    grades = [r["grade"] for r in fr.cleaned(spark, sf).select("grade").where(
+        "grade IS NOT NULL").distinct().collect()]  # grades are a fixed, small set
+    path = scratch(spark, "artifact")
+    write_json_artifact(spark, {"grade": grades}, path)
+    return spark.createDataFrame([(v,) for v in read_json_artifact(spark, path)["grade"]],
+                                 "value string")
+
+
+@register("dashboard_bundle", q(
+    "SELECT decision, count(*) AS n FROM (SELECT CASE WHEN probability_default < 0.2 THEN 'Approve' "
+    "WHEN probability_default >= 0.5 THEN 'Reject' ELSE 'Manual Review' END AS decision FROM scored "
+    "WHERE probability_default IS NOT NULL) GROUP BY decision"))
+def _dashboard_bundle(spark, sf):
+    """The dashboard tables exported and one of them read back."""
+    from loanlens.plans.jobs import dashboard_tables
+    from loanlens.sources.readers import read_processed
+    from loanlens.sources.sinks import export_dashboard_bundle
+    paths = export_dashboard_bundle(dashboard_tables(fr.scored_table(spark, sf)), scratch(spark, "bundle"))
+    risk = next(p for p in paths if p.endswith("risk_scores"))
+    return (read_processed(spark, risk, "csv").where("probability_default IS NOT NULL")
+            .groupBy("decision").agg(F.count(F.lit(1)).alias("n")))

@@ -14,17 +14,24 @@ from loanlens.sources.fixture import loan_view
 PROB = "probability_default"
 
 
-def cleaned(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
-    """Cleaned, labelled loans. Downstream queries make several passes
-    (quantile edges, split boundaries, matrix statistics), so the joined and
-    filtered table is written once to the shared folder and every pass reads
-    that copy instead of replaying the join."""
-    df = loan_view(spark, sf_dir).transform(clean_and_label)
-    return materialize(df, "cleaned") if materialized else df
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned, labelled loans, lazy: a query reads only the columns it asks for."""
+    return loan_view(spark, sf_dir).transform(clean_and_label)
+
+
+def row_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that a row gives by itself (all but the quartile bucket of
+    the loan amount, which needs a pass over the table), lazy."""
+    return cleaned(spark, sf_dir).transform(drop_leaky_columns).transform(
+        lambda df: build_features(df, loan_size=False))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaned(spark, sf_dir).transform(drop_leaky_columns).transform(build_features)
+    """All features, for queries over whole rows in several passes: the joined
+    table is written once to the shared folder and every pass reads that copy
+    instead of replaying the join."""
+    base = cleaned(spark, sf_dir).transform(drop_leaky_columns)
+    return materialize(base, "cleaned").transform(build_features)
 
 
 def pseudo_score(df: DataFrame) -> DataFrame:
@@ -34,11 +41,23 @@ def pseudo_score(df: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_score(features(spark, sf_dir))
+    """Scored loans, lazy: for queries that aggregate them in one pass."""
+    return pseudo_score(row_features(spark, sf_dir))
+
+
+#: What the metrics over scores, vintages and splits read.
+SCORED_COLUMNS = ("loan_id", "issue_d", "target_default", "loan_amnt", "int_rate", "dti",
+                  "revol_util", "annual_inc", PROB)
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored loans for metrics that rank or rescan them: only their columns,
+    written once."""
+    return materialize(scored(spark, sf_dir).select(*SCORED_COLUMNS), "scored")
 
 
 def split_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_based_split(scored(spark, sf_dir), "issue_d")
+    return time_based_split(scored_table(spark, sf_dir), "issue_d")
 
 
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:

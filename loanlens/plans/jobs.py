@@ -33,7 +33,6 @@ API_CATEGORICAL_FIELDS = ("term", "grade", "sub_grade", "emp_length", "home_owne
                           "verification_status", "purpose", "initial_list_status",
                           "application_type")
 TOP_N_FEATURES_FOR_PSI = 5
-SHAP_SAMPLE_SIZE = 1000
 
 
 @dataclass
@@ -113,13 +112,15 @@ def prepare_loans(loans: DataFrame) -> DataFrame:
 
 def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboost",
                  train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
-                 shap_sample: int | None = SHAP_SAMPLE_SIZE, out_dir: str | None = None,
-                 evaluate: bool = True, prep_options: dict | None = None,
+                 shap_sample: int | None = None, out_dir: str | None = None,
+                 evaluate: bool = True, importance: bool = True, prep_options: dict | None = None,
                  **params) -> TrainingRun:
     """The full training run as Spark jobs; returns metric tables.
 
     ``evaluate=False`` fits only what scoring needs (matrix state, model,
-    training defaults, isotonic map) and skips the holdout metrics."""
+    training defaults, isotonic map) and skips the holdout metrics.
+    Importance explains every training row; ``shap_sample`` asks for a seeded
+    sample instead, ``importance=False`` leaves it out."""
     ensure_checkpoint_dir(spark)
     # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
     # statistics): written once to the shared folder, read back columnar.
@@ -145,7 +146,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         iso = tr.fit_isotonic(s_val, "p_raw")
         artifacts = ScoringArtifacts(
             model=model, calibrator=iso, feature_names=names,
-            vocabulary={**prep_model.vocabulary, **vocab_api}, defaults=defaults,
+            vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
             loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
             metadata={"model": model_name,
                       "training_date": dt.datetime.now(dt.UTC).isoformat()})
@@ -171,14 +172,14 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     top = tr.top_feature_names(model, names, TOP_N_FEATURES_FOR_PSI)
     feature_psi = me.psi_by_column(train, test, top)
 
-    stage = model.stages[-1]
-    if hasattr(stage, "featureImportances"):
+    explained = None
+    if importance:
         sample = seeded_sample(train, shap_sample) if shap_sample else train
-        importance = ex.global_importance(ex.tree_shap(sample, model, names), names)
-    else:
-        sample = seeded_sample(train, shap_sample) if shap_sample else train
-        bg = seeded_sample(train, 100, seed=7)
-        importance = ex.global_importance(ex.linear_shap(sample, model, names, bg), names)
+        if hasattr(model.stages[-1], "featureImportances"):
+            shap = ex.tree_shap(sample, model, names)
+        else:
+            shap = ex.linear_shap(sample, model, names, seeded_sample(train, 100, seed=7))
+        explained = ex.global_importance(shap, names)
 
     metrics = spark.createDataFrame([(
         model_name, int(train.count()), int(val.count()), int(summary["n"]), len(names),
@@ -190,7 +191,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         "brier_raw double, brier_calibrated double, score_psi double")
     artifacts = ScoringArtifacts(
         model=model, calibrator=iso, feature_names=names,
-        vocabulary={**prep_model.vocabulary, **vocab_api}, defaults=defaults,
+        vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
         loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
         metadata={"model": model_name, "training_date": dt.datetime.now(dt.UTC).isoformat(),
                   "test_auc": summary["roc_auc"], "test_ks": summary["ks"],
@@ -200,18 +201,17 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     if out_dir:
         artifacts.save(spark, out_dir)
     return TrainingRun(metrics=metrics, decile_lift=lift, vintage_auc=vint,
-                       feature_psi=feature_psi, importance=importance,
+                       feature_psi=feature_psi, importance=explained,
                        bounds=split_bounds(split), artifacts=artifacts,
                        scored_test=cal_test)
 
 
 def compare_models(spark: SparkSession, loans: DataFrame, models: dict[str, dict],
-                   **kw) -> DataFrame:
+                   **options) -> DataFrame:
     """K9: one metrics table over several models (union of K10 rows)."""
     out = None
     for name, params in models.items():
-        m = run_training(spark, loans, name, shap_sample=kw.get("shap_sample", 200),
-                         **params).metrics
+        m = run_training(spark, loans, name, importance=False, **options, **params).metrics
         out = m if out is None else out.unionByName(m)
     return out
 

@@ -80,11 +80,15 @@ def materialize(df, name: str = "table"):
     return df.sparkSession.read.parquet(write_table(df, name))
 
 
-def write_table(df, name: str = "table") -> str:
-    """Write ``df`` as Parquet under the shared checkpoint folder; the path."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
     import uuid
 
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df, name: str = "table") -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; the path."""
+    path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return path

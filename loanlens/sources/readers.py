@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens.functions.columns import nan_to_null_all
-from loanlens.sources.schemas import APPLICATION_SCHEMA, MISSING_TOKENS, RAW_NUMERIC_COLUMNS
+from loanlens.session import materialize
+from loanlens.sources.schemas import APPLICATION_SCHEMA, MISSING_TOKENS
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -21,11 +22,19 @@ def _header(spark: SparkSession, path: str) -> list[str]:
     return [str(v) if v is not None else f"_c{i}" for i, v in enumerate(first[0])]
 
 
-def loan_csv_schema(columns: list[str]) -> T.StructType:
-    """Known numeric loan columns typed as double, every other column string."""
-    numeric = set(RAW_NUMERIC_COLUMNS)
-    return T.StructType([T.StructField(c, T.DoubleType() if c in numeric else T.StringType())
-                         for c in columns])
+def type_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns whose every present value is a number become double, an
+    entirely empty one too; one value that is none ("13.5%") leaves its column
+    text, so nothing is silently lost. One aggregate pass over all columns."""
+    texts = [f.name for f in df.schema.fields
+             if isinstance(f.dataType, T.StringType) and f.name not in keep]
+    if not texts:
+        return df
+    bad = df.agg(*[F.count(F.when(F.col(f"`{c}`").try_cast("double").isNull(), F.col(f"`{c}`")))
+                   .alias(f"b{i}") for i, c in enumerate(texts)]).first()
+    numeric = {c for i, c in enumerate(texts) if bad[f"b{i}"] == 0}
+    return df.select([F.col(f"`{c}`").try_cast("double").alias(c) if c in numeric
+                      else F.col(f"`{c}`") for c in df.columns])
 
 
 def normalize_missing(df: DataFrame) -> DataFrame:
@@ -38,24 +47,42 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def with_loan_key(df: DataFrame, key: str = "loan_id") -> DataFrame:
-    """Rows need an explicit key (Spark rows have no index): keep ``key``,
-    else take the export's numeric ``id``, else generate one."""
+    """Rows need an explicit key (Spark rows have no index): keep ``key``, else
+    take the export's ``id`` if it is a number in every row and never repeated,
+    else a hash of the row and, for equal rows, of which of them it is. The key
+    depends on the data alone, not on files or partitions."""
     if key in df.columns:
         return df
     if "id" in df.columns:
-        return df.withColumn(key, F.col("id").try_cast("long"))
-    return df.withColumn(key, F.monotonically_increasing_id())
+        number = F.col("id").try_cast("long")
+        found = df.agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("ids"),
+                       F.countDistinct(number).alias("distinct")).first()
+        if found["n"] == found["ids"] == found["distinct"]:
+            return df.withColumn(key, number)
+    row = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in df.columns]
+    digest = F.sha2(F.concat_ws("\x01", *row), 256)
+    same = Window.partitionBy("_row").orderBy("_row")
+    numbered = df.withColumn("_row", digest).withColumn("_nth", F.row_number().over(same))
+    return numbered.withColumn(key, F.xxhash64("_row", "_nth")).drop("_row", "_nth")
 
 
 def load_raw_data(spark: SparkSession, path: str | Path, schema: T.StructType | None = None,
                   key: str = "loan_id") -> DataFrame:
-    """A1: read the raw loan CSV with a fixed schema (no inference pass);
-    quoted multi-line text fields are kept whole. ``str`` and ``Path`` work."""
+    """A1: read the raw loan CSV; quoted multi-line text fields are kept whole.
+    Columns are read as text and typed by what they hold, unless a ``schema`` is
+    given. ``str`` and ``Path`` work.
+
+    A CSV file with line breaks inside quotes cannot be split, so each file is
+    one task: its rows are written once as Parquet, and every later pass reads
+    that copy in parallel."""
     path = str(path)
-    schema = schema or loan_csv_schema(_header(spark, path))
+    given = schema is not None
+    if not given:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in _header(spark, path)])
     df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return with_loan_key(normalize_missing(df), key)
+    df = materialize(normalize_missing(df), "raw-loans")
+    return with_loan_key(df if given else type_columns(df), key)
 
 
 def read_snapshots(spark: SparkSession, reference_path: str, current_path: str
