@@ -461,3 +461,71 @@ def _dashboard_bundle(spark, sf):
     risk = next(p for p in paths if p.endswith("risk_scores"))
     return (read_processed(spark, risk, "csv").where("probability_default IS NOT NULL")
             .groupBy("decision").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- serving: written-out vocabulary and defaults ---------------------------------
+
+_SERVED = ("loan_amnt", "term", "grade", "purpose", "dti", "mths_since_last_delinq",
+           "loan_size_bucket", "emp_length_clean", "absent_number", "absent_category")
+
+
+@register("serving_encoding", f"""
+WITH {LOANS_SQL}, a AS (SELECT *, list_sort([loan_amnt, 1000.0, 8000.0, 15000.0, 25000.0, 40000.0]) AS s
+                        FROM loans),
+e AS (SELECT *, s[2] + (s[3] - s[2]) * 0.25 AS q1, s[4] - (s[4] - s[3]) * 0.5 AS q2,
+             s[5] - (s[5] - s[4]) * 0.25 AS q3 FROM a)
+SELECT loan_id AS app_id, loan_amnt,
+       CASE term WHEN '36 months' THEN 0.0 WHEN '60 months' THEN 1.0 ELSE -1.0 END AS term,
+       CASE grade WHEN 'A' THEN 0.0 WHEN 'B' THEN 1.0 WHEN 'C' THEN 2.0 ELSE -1.0 END AS grade,
+       CASE purpose WHEN 'FRANCE' THEN 0.0 WHEN 'JAPAN' THEN 1.0 ELSE -1.0 END AS purpose,
+       coalesce(dti, 9.5) AS dti, coalesce(mths_since_last_delinq, 24.0) AS mths_since_last_delinq,
+       CASE WHEN loan_amnt <= q1 THEN 2.0 WHEN loan_amnt <= q2 THEN 1.0 WHEN loan_amnt <= q3 THEN 0.0
+            ELSE 3.0 END AS loan_size_bucket,
+       coalesce(TRY_CAST(nullif(regexp_extract(emp_length, '([0-9]+)', 1), '') AS DOUBLE), 0.0)
+         AS emp_length_clean,
+       3.25 AS absent_number, 0.0 AS absent_category
+FROM e""")
+def _serving_encoding(spark, sf):
+    """Every application through the serving features
+    and the encoder with a fixed vocabulary and fixed defaults: unknown categories
+    become -1, missing numbers their default, else 0."""
+    from loanlens.operators.scoring import application_features, encode_for_model
+    apps = applications_from_loans(loan_view(spark, sf))
+    return encode_for_model(
+        application_features(apps, issue_month="Jan-2002"), _SERVED,
+        vocabulary={"term": ["36 months", "60 months"], "grade": ["A", "B", "C"],
+                    "purpose": ["FRANCE", "JAPAN"], "absent_category": ["nan", "x"]},
+        defaults={"dti": 9.5, "mths_since_last_delinq": 24.0, "absent_number": 3.25},
+        keep=["app_id"])
+
+
+@register("decision_thresholds", q(
+    "SELECT loan_id, CASE WHEN probability_default < 0.1 THEN 'Approve' "
+    "WHEN probability_default >= 0.3 THEN 'Reject' ELSE 'Manual Review' END AS decision FROM scored"))
+def _decision_thresholds(spark, sf):
+    """M4: decisions at thresholds other than the default ones."""
+    from loanlens.operators.decisions import decision
+    return fr.scored(spark, sf).select("loan_id", decision(fr.PROB, 0.1, 0.3).alias("decision"))
+
+
+@register("valid_applications", f"WITH v AS ({_validation_sql()}) SELECT app_id FROM v WHERE is_valid")
+def _valid_applications(spark, sf):
+    """The applications that go on to scoring."""
+    from loanlens.operators.scoring import split_valid
+    return split_valid(applications_from_loans(loan_view(spark, sf)))[0].select("app_id")
+
+
+@register("prune_empty_columns", _HALVES + """
+SELECT "column" FROM (SELECT 'event_id' AS "column", count(event_id) AS a FROM ref
+  UNION ALL SELECT 'value', count(value) FROM ref UNION ALL SELECT 'event_type', count(event_type) FROM ref)
+WHERE a > 0""")
+def _prune_empty(spark, sf):
+    """A column empty in the reference, and one empty in the current half,
+    are dropped from both."""
+    from loanlens.operators.cleaning import prune_empty_columns
+    ref, cur = (h.select("event_id", "value", "event_type") for h in fr.events_halves(spark, sf))
+    ref = ref.withColumns({"gone": F.lit(None).cast("double"), "late": F.lit(1.0)})
+    cur = cur.withColumns({"gone": F.lit(1.0), "late": F.lit(None).cast("double")})
+    ref, cur, _ = prune_empty_columns(ref, cur)
+    kept = [c for c in ref.columns if c in cur.columns]
+    return ref.limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("column"))

@@ -5,10 +5,23 @@ from __future__ import annotations
 
 import numpy as np
 
-from loanlens.operators import features as fe
-from loanlens.operators.decisions import RISK_BAND_EDGES, RISK_BAND_LABELS
 from loanlens.sources.fixture import LOANS_SQL
 
+# Fixed values, written out here on purpose: the SQL must not share them with the code it checks.
+REVOL_UTIL_EDGES = (0, 30, 60, 90, 150)
+REVOL_UTIL_LABELS = ("low", "moderate", "high", "very_high")
+DTI_EDGES = (0, 10, 20, 30, 100)
+DTI_LABELS = ("low_dti", "moderate_dti", "high_dti", "very_high_dti")
+INQUIRY_EDGES = (-1, 1, 3, 6, 100)
+INQUIRY_LABELS = ("low_inquiry", "moderate_inquiry", "high_inquiry", "very_high_inquiry")
+DELINQUENCY_EDGES = (-1, 0, 2, 5, 100)
+DELINQUENCY_LABELS = ("no_delinquency", "low_delinquency", "moderate_delinquency", "high_delinquency")
+EMPLOYMENT_EDGES = (-1, 1, 5, 10, 50)
+EMPLOYMENT_LABELS = ("new", "short_term", "medium_term", "long_term")
+LOAN_SIZE_LABELS = ("small", "medium", "large", "very_large")
+RISK_BAND_EDGES = (0, 0.2, 0.4, 0.6, 0.8, 1)
+RISK_BAND_LABELS = ("Very Low Risk", "Low Risk", "Medium Risk", "High Risk", "Very High Risk")
+
 STRING_COLS = ("loan_status", "term", "grade", "sub_grade", "emp_length", "home_ownership",
                "verification_status", "purpose", "issue_d", "earliest_cr_line",
                "initial_list_status", "application_type")
@@ -60,22 +73,22 @@ feat0 AS (
   SELECT n.* REPLACE ({month('n.issue_d')} AS issue_d,
                       {month('n.earliest_cr_line')} AS earliest_cr_line),
     {div_sql('n.annual_inc', 'n.loan_amnt')} AS income_to_loan_ratio,
-    {bucket_sql('n.revol_util', fe.REVOL_UTIL_EDGES, fe.REVOL_UTIL_LABELS)} AS revol_util_bucket,
-    {bucket_sql('n.dti', fe.DTI_EDGES, fe.DTI_LABELS)} AS dti_bucket,
+    {bucket_sql('n.revol_util', REVOL_UTIL_EDGES, REVOL_UTIL_LABELS)} AS revol_util_bucket,
+    {bucket_sql('n.dti', DTI_EDGES, DTI_LABELS)} AS dti_bucket,
     {_emp} AS emp_length_clean,
     date_diff('day', {month('n.earliest_cr_line')}, {month('n.issue_d')}) / 365.0
       AS credit_history_years,
-    {bucket_sql('n.inq_last_6mths', fe.INQUIRY_EDGES, fe.INQUIRY_LABELS)} AS inquiry_risk_bucket,
-    {bucket_sql('n.delinq_2yrs', fe.DELINQUENCY_EDGES, fe.DELINQUENCY_LABELS)}
+    {bucket_sql('n.inq_last_6mths', INQUIRY_EDGES, INQUIRY_LABELS)} AS inquiry_risk_bucket,
+    {bucket_sql('n.delinq_2yrs', DELINQUENCY_EDGES, DELINQUENCY_LABELS)}
       AS delinquency_risk,
-    {bucket_sql('n.loan_amnt', ['qs.q[1]', *_q, 'qs.q[5]'], fe.LOAN_SIZE_LABELS,
+    {bucket_sql('n.loan_amnt', ['qs.q[1]', *_q, 'qs.q[5]'], LOAN_SIZE_LABELS,
                 include_lowest=True)} AS loan_size_bucket,
     {div_sql('n.revol_bal', 'n.annual_inc')} AS revol_bal_to_income,
     {div_sql('n.installment * 12', 'n.annual_inc')} AS installment_to_income,
     coalesce(n.revol_util, 0.0) + coalesce(n.dti, 0.0) + coalesce(n.inq_last_6mths, 0.0)
       AS credit_exposure_score
   FROM nonleaky n, qs),
-feat AS (SELECT *, {bucket_sql('emp_length_clean', fe.EMPLOYMENT_EDGES, fe.EMPLOYMENT_LABELS)}
+feat AS (SELECT *, {bucket_sql('emp_length_clean', EMPLOYMENT_EDGES, EMPLOYMENT_LABELS)}
            AS employment_stability FROM feat0),
 scored AS (SELECT *, floor(credit_exposure_score * 10) / 3000.0 AS probability_default
            FROM feat),
