@@ -148,7 +148,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
             model=model, calibrator=iso, feature_names=names,
             vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
             loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
-            metadata={"model": model_name,
+            metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
                       "training_date": dt.datetime.now(dt.UTC).isoformat()})
         if out_dir:
             artifacts.save(spark, out_dir)
@@ -193,7 +193,8 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         model=model, calibrator=iso, feature_names=names,
         vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
         loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
-        metadata={"model": model_name, "training_date": dt.datetime.now(dt.UTC).isoformat(),
+        metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
+                  "training_date": dt.datetime.now(dt.UTC).isoformat(),
                   "test_auc": summary["roc_auc"], "test_ks": summary["ks"],
                   "test_gini": summary["gini"], "brier": float(brier["cal"]),
                   "decision_thresholds": {"approve_below": APPROVE_BELOW,
@@ -216,23 +217,45 @@ def compare_models(spark: SparkSession, loans: DataFrame, models: dict[str, dict
     return out
 
 
-def evaluate_saved(spark: SparkSession, loans: DataFrame, artifacts: ScoringArtifacts,
-                   train_frac: float = 0.7, val_frac: float = 0.15) -> DataFrame:
-    """Rebuild the holdout with the same fractions and score it."""
-    base = prepare_loans(loans)
-    feats = build_features(base, loan_size_edges=artifacts.loan_size_edges)
-    split = time_based_split(feats, "issue_d", train_frac, val_frac)
-    from loanlens.operators.scoring import encode_for_model
+def evaluation_tables(spark: SparkSession, loans: DataFrame, artifacts: ScoringArtifacts,
+                      train_frac: float | None = None, val_frac: float | None = None
+                      ) -> dict[str, DataFrame]:
+    """Rebuild the split of a saved model (its stored fractions unless
+    others are given), score train and test, and return ``metrics`` (AUC, KS,
+    Gini, score PSI), ``classification``, ``decile_lift``, ``vintage_auc`` and
+    ``feature_psi`` of the model's top features."""
     from pyspark.ml.feature import VectorAssembler
-    test = split.filter("split = 'test'")
-    m = encode_for_model(test, artifacts.feature_names, artifacts.vocabulary,
-                         artifacts.defaults, keep=["loan_id", TARGET],
+
+    from loanlens.operators.scoring import encode_for_model
+    stored = artifacts.metadata.get("split", {})
+    feats = build_features(prepare_loans(loans), loan_size_edges=artifacts.loan_size_edges)
+    split = time_based_split(feats, "issue_d", train_frac or stored.get("train_frac", 0.7),
+                             val_frac or stored.get("val_frac", 0.15))
+    names = artifacts.feature_names
+    m = encode_for_model(split.withColumn("_issue", F.col("issue_d")), names, artifacts.vocabulary,
+                         artifacts.defaults, keep=["loan_id", TARGET, "split", "_issue"],
                          code_tables=artifacts.code_tables)
-    m = VectorAssembler(inputCols=artifacts.feature_names, outputCol="features",
-                        handleInvalid="keep").transform(m)
-    s = tr.score(artifacts.model, m)
-    return me.binary_metrics(s, TARGET, "p_raw").withColumn(
-        "model", F.lit(artifacts.metadata.get("model")))
+    m = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(m)
+    scored = tr.score(artifacts.model, m.filter("split <> 'val'"))
+    # every metric rescans the scores: written once
+    scored = materialize(scored.select("loan_id", TARGET, "split", F.col("_issue").alias("issue_d"),
+                                       "p_raw", *[c for c in names]), "evaluation")
+    train, test = scored.filter("split = 'train'"), scored.filter("split = 'test'")
+    top = tr.top_feature_names(artifacts.model, names, TOP_N_FEATURES_FOR_PSI)
+    metrics = me.binary_metrics(test, TARGET, "p_raw").withColumns({
+        "score_psi": F.lit(round(me.psi(train, test, "p_raw"), 6)),
+        "model": F.lit(artifacts.metadata.get("model"))})
+    return {"metrics": metrics,
+            "classification": me.classification_metrics(test, TARGET, "p_raw"),
+            "decile_lift": me.decile_lift_table(test, TARGET, "p_raw"),
+            "vintage_auc": me.per_vintage_auc(test, "issue_d", TARGET, "p_raw"),
+            "feature_psi": me.psi_by_column(train, test, top)}
+
+
+def evaluate_saved(spark: SparkSession, loans: DataFrame, artifacts: ScoringArtifacts,
+                   **split) -> DataFrame:
+    """K11's metrics row."""
+    return evaluation_tables(spark, loans, artifacts, **split)["metrics"]
 
 
 def dashboard_tables(scored: DataFrame, prob: str = "probability_default",

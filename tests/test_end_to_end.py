@@ -158,3 +158,18 @@ def test_evaluate_saved_model_on_rebuilt_holdout(spark, run):
     got = evaluate_saved(spark, loans, r.artifacts).first()
     assert got.n == r.metrics.first().n_test
     assert got.roc_auc > 0.6
+
+
+def test_evaluation_tables_of_a_saved_model(spark, run):
+    from loanlens.plans.jobs import TOP_N_FEATURES_FOR_PSI, evaluation_tables
+    loans, r = run
+    t = evaluation_tables(spark, loans, r.artifacts)
+    first = t["metrics"].first()
+    assert first.score_psi >= 0 and first.model == "xgboost"
+    assert sum(x.n for x in t["decile_lift"].collect()) == first.n
+    assert sum(x.n for x in t["vintage_auc"].collect()) == first.n
+    assert t["feature_psi"].count() == TOP_N_FEATURES_FOR_PSI
+    cls = t["classification"].first()
+    assert cls.tn + cls.fp + cls.fn + cls.tp == first.n
+    smaller = evaluation_tables(spark, loans, r.artifacts, train_frac=0.8, val_frac=0.1)["metrics"].first()
+    assert smaller.n < first.n
