@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loanlens.functions.columns import numeric_columns
 from loanlens.operators.ranking import grouped_exact_quantiles
