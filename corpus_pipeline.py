@@ -20,8 +20,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     weights, threshold = classifier.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = classifier.classify(docs, weights, threshold)
-    return scored.where(scored["predicted"] == 1).select(*docs.columns)
+    return classifier.accepted(docs, weights, threshold)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
