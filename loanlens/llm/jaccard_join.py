@@ -28,11 +28,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm import shingles
-from loanlens.llm.common import fresh, whole_text
+from loanlens.llm.common import SPACES, fresh, whole_text
 from loanlens.llm.components import components
 from loanlens.llm.tokenizing import slices
 from loanlens.session import ensure_checkpoint_dir, materialize
@@ -40,11 +40,11 @@ from loanlens.session import ensure_checkpoint_dir, materialize
 THRESHOLD = 0.8
 RECALL = 0.999
 LEVELS = 3
-BUCKET = 64
-#: Sets in a block of a bucket that no split made small.
-BLOCK = 256
-#: Shingles in a block of a candidate group.
+#: Sets in a bucket that is settled by brute force, and in a block of one that no split made small.
+BUCKET = 256
+#: Shingles, and sets, in a block of a candidate group.
 BLOCK_SHINGLES = 300_000
+BLOCK_SETS = 1024
 SEED = 11
 
 FEATURES = ("doc_id string, text_key binary, key binary, n int, sketch binary, "
@@ -97,9 +97,11 @@ def leaves(classes: DataFrame, bucket: int) -> DataFrame:
     level = classes.select("key", F.posexplode("p1").alias("at", "path"))
     found = None
     for depth in range(1, LEVELS + 1):
+        if depth > 1:
+            level = level.checkpoint()  # counted and joined: computed once
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
         level = level.join(sizes, "path").checkpoint()
-        small = level.where(F.col("members") <= (bucket if depth < LEVELS else BLOCK)).select(
+        small = level.where(F.col("members") <= bucket).select(
             "path", *[F.lit(0).cast("long").alias(c) for c in ("_lo", "_hi", "_b")], "key")
         found = small if found is None else found.union(small)
         if depth < LEVELS:
@@ -107,52 +109,40 @@ def leaves(classes: DataFrame, bucket: int) -> DataFrame:
             deeper = deeper.select("key", "next", "child", F.get(f"q{depth + 1}", F.col("next")).alias("at"))
             level = (level.where(F.col("members") > bucket).select("key", "at").join(deeper, ["key", "at"])
                      .select("key", F.col("next").alias("at"), F.col("child").alias("path")))
-    large = level.where(F.col("members") > BLOCK).withColumn(
-        "_blocks", F.ceil(F.col("members") / BLOCK).cast("long"))
+    large = level.where(F.col("members") > bucket).withColumn(
+        "_blocks", F.ceil(F.col("members") / bucket).cast("long"))
     return found.union(_block_pairs(large, ["path"], "_blocks", "key").select("path", "_lo", "_hi", "_b", "key"))
 
 
-def _roots(n: int, pairs) -> np.ndarray:
-    """Least connected index of each of ``n`` after linking ``pairs``."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        while root[j] != j:
-            root[j] = j = root[root[j]]
-        root[max(i, j)] = min(i, j)
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each index of a symmetric matrix of links, the least one connected."""
+    root, own = np.arange(len(linked)), linked | np.eye(len(linked), dtype=bool)
     while True:
-        up = root[root]
-        if (up == root).all():
+        least = np.where(own, root[None, :], len(root)).min(axis=1)
+        least = least[least]
+        if (least == root).all():
             return root
-        root = up
-
-
-def _sides(lo: int, hi: int, blocks: np.ndarray):
-    """Index ranges compared in a group of block pair (lo, hi), sorted by block."""
-    n = len(blocks)
-    if lo == hi:
-        return (0, n), (0, n)
-    first = int((blocks == lo).sum())
-    return (0, first), (first, n)
+        root = least
 
 
 def _candidate_edges(threshold: float):
+    """Edges that connect what a bucket's alike pairs connect. In a pair of two
+    blocks, each block's own pairs were settled elsewhere: only edges that join
+    parts of the blocks are given."""
     def run(batches):
         for b in batches:
-            out = []
+            out = set()
             for lo, hi, members in zip(b["_lo"], b["_hi"], b["members"], strict=True):
                 members = sorted(members, key=lambda m: (m["_b"] != lo, m["key"]))
                 s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                (a0, a1), (b0, b1) = _sides(lo, hi, np.array([m["_b"] for m in members]))
-                pairs = []
-                for i in range(a0, a1, 16):
-                    x, y = np.nonzero(shingles.alike(s[i:min(i + 16, a1)], s[b0:b1], threshold))
-                    pairs.append(np.stack((x + i, y + b0), 1))
-                pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-                root = _roots(len(members), pairs[pairs[:, 0] < pairs[:, 1]])
-                out += [(members[i]["key"], members[r]["key"]) for i, r in enumerate(root) if r != i]
-            yield pd.DataFrame(out, columns=["a", "b"])
+                linked = np.concatenate([shingles.alike(s[i:i + 16], s, threshold) for i in range(0, len(s), 16)])
+                root, part = _roots(linked), np.arange(len(s))
+                if lo != hi:
+                    side = np.array([m["_b"] == lo for m in members])
+                    part = _roots(linked & (side[:, None] == side[None, :]))
+                out.update((members[i]["key"], members[r]["key"])
+                           for i, r in enumerate(root) if part[i] == i and r != i)
+            yield pd.DataFrame(sorted(out), columns=["a", "b"])
     return run
 
 
@@ -194,12 +184,11 @@ def _verify(threshold: float):
                 both = intersections(sets)
                 linked = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-9
                 np.fill_diagonal(linked, False)
-                (_, a1), (b0, _) = _sides(lo, hi, np.array([m["_b"] for m in members]))
-                if lo != hi:
-                    linked[:a1, :a1] = False
-                    linked[b0:, b0:] = False
+                if lo != hi:  # pairs within one block are counted where it meets itself
+                    side = np.array([m["_b"] == lo for m in members])
+                    linked &= side[:, None] != side[None, :]
                 documents = linked @ np.array([m["documents"] for m in members], dtype=np.int64)
-                root = _roots(len(members), np.argwhere(np.triu(linked)))
+                root = _roots(linked)
                 out += [(m["key"], members[r]["key"], int(d))
                         for m, r, d in zip(members, root, documents, strict=True) if d]
             yield pd.DataFrame(out, columns=["a", "b", "links"])
@@ -223,7 +212,8 @@ def verified(docs: DataFrame, text: str, classes: DataFrame, groups: DataFrame,
     members = (groups.select(F.col("node").alias("key"), "component")
                .join(classes.select("key", "n", "documents", "text_key"), "key"))
     members = members.join(members.groupBy("component").agg(
-        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("_blocks")), "component")
+        F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS))
+        .cast("long").alias("_blocks")), "component")
     texts = docs.select(F.unhex(F.md5(whole_text(text))).alias("text_key"), whole_text(text).alias("text"))
     whole = (members.join(texts, "text_key").groupBy("key", "component", "documents", "_blocks")
              .agg(F.first("text").alias("text"))
@@ -273,14 +263,36 @@ def similarity_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "do
 
 def one_of_each(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each class: that of least id (null ids
-    last; of equal ones the least text, then any). Wordless texts all stay."""
-    key, group, row = fresh("text_key"), fresh("class"), fresh("row")
-    classes = similarity_classes(docs, text=text, doc_id=doc_id, **options)
-    of_text = classes.groupBy(F.col("text_key").alias(key)).agg(F.first("class_key").alias(group))
-    # the text's digest finds its class; only the best row of a class is shuffled on
-    marked = docs.withColumn(key, F.unhex(F.md5(whole_text(text)))).join(of_text, key, "left")
-    rows = F.struct(*[F.col(c) for c in docs.columns])
-    best = (marked.where(F.col(group).isNotNull()).groupBy(group)
-            .agg(F.min_by(rows, F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(key))).alias(row)))
-    return best.select(*[F.col(row)[c].alias(c) for c in docs.columns]).union(
-        marked.where(F.col(group).isNull()).select(*docs.columns))
+    last; of equal ones the least text digest, of repeated rows any). Wordless
+    texts all stay."""
+    row = fresh("row")
+    text_key = F.md5(whole_text(text))
+    classes = similarity_classes(docs, text=text, doc_id=doc_id, **options).where(F.col("class_key").isNotNull())
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                    F.lower(F.hex("text_key")).alias("text_key"))
+    keepers = classes.groupBy("class_key").agg(F.min(name).alias("k")).select(
+        _row_name(F.col("k")["id"], F.col("k")["text_key"]).alias(row))
+    # only the rows' names were compared; the texts move once, to meet the keepers
+    wordless = F.btrim(whole_text(text), F.lit(SPACES)) == ""
+    kept = (docs.where(~wordless).withColumn(row, _row_name(F.col(doc_id), text_key))
+            .join(keepers, row, "left_semi").dropDuplicates([row]).drop(row))
+    return kept.union(docs.where(wordless))
+
+
+def _row_name(doc_id: Column, text_key: Column) -> Column:
+    return F.md5(F.concat(text_key, F.lit("|"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+
+
+#: DuckDB SQL of the query over ``documents``: every shared shingle, every pair.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+    from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (s) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b, shared = x.n and x.n = y.n as same from p join n x on x.doc_id = a join n y on y.doc_id = b
+    where shared >= 0.8 * (x.n + y.n - shared) - 1e-9),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select doc_id, least(doc_id, coalesce((select min(b) from r where r.a = doc_id), doc_id)) as class_id,
+    (select count(*) from l where l.a = doc_id) as n_links,
+    1 + (select count(*) from l where l.a = doc_id and same) as n_copies from documents"""

@@ -68,8 +68,11 @@ def sketch(s: np.ndarray) -> bytes:
 def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """For all rows of sketches ``a`` against ``b``: whether the estimated
     similarity is within five deviations of the threshold, or above."""
-    same = ((a[:, None, :] == b[None, :, :]) & (a != 0)[:, None, :]).sum(axis=2)
-    filled = ((a != 0)[:, None, :] | (b != 0)[None, :, :]).sum(axis=2)
+    in_a, in_b = (a != 0).astype(np.float32), (b != 0).astype(np.float32)
+    in_both = in_a @ in_b.T
+    filled = in_a.sum(axis=1)[:, None] + in_b.sum(axis=1)[None, :] - in_both
+    # equal bytes, less the ranges that neither fills
+    same = np.count_nonzero(a[:, None, :] == b[None, :, :], axis=2) - (a.shape[1] - filled)
     return same >= threshold * filled - 5 * np.sqrt(threshold * (1 - threshold) * filled)
 
 

@@ -63,8 +63,8 @@ def test_matches_brute_force(spark):
 
 
 def test_large_buckets_and_groups_are_dealt_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
-    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 6)
     rnd = random.Random(8)
     base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
     near = [" ".join(base[:k] + [f"x{k}"] + base[k + 1:]) for k in range(40)]
