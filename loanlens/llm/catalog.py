@@ -96,4 +96,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.sql()}
+    return {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.sql(),
+            "op6_jaccard_join": jaccard_join.SQL}

@@ -38,5 +38,3 @@ def fresh(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()

@@ -182,3 +182,30 @@ def judge(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     return out.select(*columns, *[m(c).alias(c) for c in RESULTS[:5]],
                       base_failed(m).alias("base_failed"), reason.isNull().alias("kept"),
                       reason.alias("rejected_by"))
+
+
+#: DuckDB SQL of the query over ``documents``; the rules are written out.
+SQL = r"""
+with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+g as (select rid, i, array_to_string(w[i:i + 4], ' ') as g
+    from (select rid, w, unnest(generate_series(1, len(w) - 4)) as i from w where len(w) >= 5)),
+r as (select rid, count(distinct i + k) as n_repeat_words
+    from (select rid, i, count(*) over (partition by rid, g) as c from g), (select unnest(range(5)) as k)
+    where c > 1 group by rid),
+m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+    len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) as n_stutter,
+    length(regexp_replace(text, '[^\p{L}]+', '', 'g')) as n_letters,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) as n_upper,
+    length(regexp_replace(text, '[^!]+', '', 'g')) as n_shouts
+    from w left join r using (rid)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not (base_failed or 10 * n_symbols > n_words or 2 * n_dup_lines > n_lines or 10 * n_stutter > 3 * n_words
+        or 2 * n_upper > n_letters or 4 * n_shouts > n_words or 10 * n_letters < 6 * word_chars
+        or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from b"""
