@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, pattern: str | None =
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
-        chunks = tokenizing.ChunkIds(tokenizer_path, pattern)
+        chunks = tokenizing.known_chunks(tokenizer_path, pattern)
         for b in batches:
             texts, ids = b["text"].tolist(), b["doc_id"]
             for lo, hi in tokenizing.slices(texts):

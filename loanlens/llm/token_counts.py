@@ -51,7 +51,7 @@ def known_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:
 def _encoder(path: str, drops_space: bool):
     def run(batches):
         split = tokenizing.spaced_chunks if drops_space else tokenizing.leading_space_chunks
-        chunks = tokenizing.ChunkIds(path)
+        chunks = tokenizing.known_chunks(path)
         for b in batches:
             texts = b["text"].tolist()
             n = [x for lo, hi in tokenizing.slices(texts) for x in chunks.counts(texts[lo:hi], split)]
