@@ -34,12 +34,13 @@ COVERAGE = 0.6
 
 # Phrases that state a licence, and the licence's label.
 PHRASES = (
-    ("the mit license", "mit"),
+    ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
 # Further wordings of public licences.
 WORDINGS = (
+    ("the mit license", "mit"),
     ("gnu general public license version 3", "gpl-3"),
     ("gnu general public license version 2", "gpl-2"),
     ("gnu lesser general public license", "lgpl"),

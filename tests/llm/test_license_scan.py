@@ -61,3 +61,19 @@ def test_copies_share_a_result(spark):
 
 def test_empty_table(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id long, text string, key string")).count() == 0
+
+
+#: The three phrases as the contract states them.
+CONTRACT = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
+
+def test_base_phrases_are_those_of_the_contract(spark):
+    assert ls.PHRASES == CONTRACT
+    texts = ["Released under the MIT License.", "the MIT license", "x the MIT license, under the MIT license y",
+             "Under the Apache License, Version 2.0", "under CC-BY-NC", "under the the mit license",
+             "under the mit license under the mit license"]
+    want = [(1, 1, 1, "mit"), (0, None, None, ""), (1, 4, 4, "mit"), (1, 2, 2, "apache-2"), (1, 1, 1, "cc-by-nc"),
+            (0, None, None, ""), (2, 0, 4, "mit")]
+    rows = scanned(spark, texts)
+    assert [(r.n_base, r.first_word, r.last_word, r.base_labels) for r in map(rows.get, range(len(texts)))] == want
+    assert [rows[i].labels for i in range(len(texts))] == ["mit"] * 3 + ["apache-2", "cc-by-nc", "mit", "mit"]
