@@ -5,7 +5,8 @@ applied to the stream as literals; a watermarked tumbling-window
 aggregation counts events per bin; each closed window gets its PSI against
 the reference shares as a column expression. Rows later than the
 watermark are dropped by Spark; a window is emitted once it is closed. A
-replayed table is closed by one marker event beyond its last window, so the
+replayed table is one micro-batch, so no order of its files or rows makes any
+of them late; it is closed by one marker event beyond its last window, so the
 last window is emitted too. Shares are of all rows (missing values fall in no
 bin), as in the batch PSI.
 """
@@ -72,7 +73,8 @@ def windowed_psi(stream: DataFrame, column: str, interior: list[float], shares:
 def run_drift_stream_once(spark: SparkSession, sf_dir: str, column: str = "value",
                           window: str = "1 day") -> DataFrame:
     """Reference = first half of the event month (static); the whole events
-    table is then replayed as a stream and drained (available-now). A second
+    table is then replayed as a stream and drained (available-now, all its files
+    as one micro-batch: the watermark moves only after the last of them). A second
     run of the same stream, from its checkpoint, reads only a marker event far
     after the last one: it moves the watermark past every window of the table."""
     events = read_table(spark, sf_dir, "events")
@@ -82,7 +84,7 @@ def run_drift_stream_once(spark: SparkSession, sf_dir: str, column: str = "value
     events.limit(0).write.parquet(f"{base}/marker")
 
     def source(path: str) -> DataFrame:
-        return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        return spark.readStream.schema(events.schema).parquet(path)
 
     # a glob (not a bare file path) so the file source lists it as input
     stream = source(f"{sf_dir.rstrip('/')}/event[s].parquet").unionByName(source(f"{base}/marke[r]"))
