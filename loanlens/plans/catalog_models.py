@@ -32,13 +32,8 @@ MATRIX_CATEGORICAL = ("term", "grade", "sub_grade", "emp_length", "home_ownershi
                       "employment_stability", "inquiry_risk_bucket", "delinquency_risk",
                       "loan_size_bucket")
 
-# Small, fixed model sizes for the registered (smoke-scale) model queries;
-# the library defaults remain the full sizes.
-QUERY_MODELS = {
-    "logistic": {"maxIter": 100},
-    "random_forest": {"numTrees": 20, "maxDepth": 6},
-    "xgboost": {"maxIter": 20, "maxDepth": 4},
-}
+# The models of the registered queries, all at the library's full sizes.
+MODELS = ("logistic", "random_forest", "xgboost")
 
 
 # --- 2.D matrix ----------------------------------------------------------------
@@ -221,8 +216,7 @@ def _drift_report(spark, sf):
 # --- 2.K / 2.N models (rows-only) -----------------------------------------------
 
 def _training(spark, sf, name):
-    return run_training(spark, loan_view(spark, sf), name, shap_sample=None,
-                        **QUERY_MODELS[name])
+    return run_training(spark, loan_view(spark, sf), name, shap_sample=None)
 
 
 @register("train_logistic")
@@ -242,14 +236,14 @@ def _train_boosted(spark, sf):
 
 @register("model_comparison")
 def _model_comparison(spark, sf):
-    return compare_models(spark, loan_view(spark, sf), QUERY_MODELS)
+    return compare_models(spark, loan_view(spark, sf), {name: {} for name in MODELS})
 
 
 def _boosted_setup(spark, sf):
     split = fr.split_features(spark, sf)
     prep = MatrixPrep().fit(split)
     m = materialize(prep.transform(split, keep=["split", "issue_d"]), "matrix")
-    model = tr.train(m.filter("split = 'train'"), "xgboost", **QUERY_MODELS["xgboost"])
+    model = tr.train(m.filter("split = 'train'"), "xgboost")
     return prep, m, model
 
 
@@ -297,8 +291,7 @@ def _score_batch(spark, sf):
     """Score every application of the fixture with a freshly trained champion."""
     from loanlens.operators.scoring import score_applications
     loans = loan_view(spark, sf)
-    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False,
-                       **QUERY_MODELS["xgboost"])
+    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False)
     return score_applications(applications_from_loans(loans), run.artifacts,
                               issue_month="Jan-2002")
 
@@ -308,8 +301,7 @@ def _score_stream(spark, sf):
     """The application feed as a file stream, scored micro-batch by micro-batch."""
     from loanlens.streaming.scoring_stream import run_scoring_stream_once
     loans = loan_view(spark, sf)
-    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False,
-                       **QUERY_MODELS["xgboost"])
+    run = run_training(spark, loans, "xgboost", shap_sample=None, evaluate=False)
     return run_scoring_stream_once(spark, applications_from_loans(loans), run.artifacts,
                                    issue_month="Jan-2002")
 

@@ -76,3 +76,40 @@ def test_top_feature_names(uniform):
     model = tr.train(uniform, "random_forest", numTrees=5, maxDepth=3)
     top = tr.top_feature_names(model, ["a", "b", "c", "d"], 2)
     assert set(top) == {"a", "b"}
+
+
+@pytest.mark.parametrize("query", [
+    "train_logistic", "train_forest", "train_boosted", "model_comparison", "calibrate_isotonic", "global_importance",
+    "local_reasons", "shap_sample_importance", "score_batch", "score_stream"])
+def test_registered_queries_train_full_sizes(monkeypatch, query):
+    from unittest.mock import MagicMock
+
+    from loanlens.plans import catalog_models as cm
+    from loanlens.plans.registry import queries
+
+    class Reached(Exception):
+        pass
+
+    def trained(*args, **params):
+        raise Reached(args, params)
+
+    for name in ("run_training", "compare_models"):
+        monkeypatch.setattr(cm, name, trained)
+    monkeypatch.setattr(cm.tr, "train", trained)
+    for name in ("loan_view", "materialize", "MatrixPrep", "applications_from_loans"):
+        monkeypatch.setattr(cm, name, MagicMock())
+    monkeypatch.setattr(cm.fr, "split_features", MagicMock())
+    with pytest.raises(Reached) as reached:
+        queries()[query](None, "")
+    args, params = reached.value.args
+    assert not {"maxIter", "numTrees", "maxDepth"} & set(params)
+    if query == "model_comparison":
+        assert args[-1] == {"logistic": {}, "random_forest": {}, "xgboost": {}}
+
+
+def test_library_sizes_are_those_of_the_survey(spark):
+    from loanlens.operators.training import _boosted, _forest, _logistic
+    size = lambda p, *names: tuple(p.getStages()[-1].getOrDefault(n) for n in names)
+    assert size(_logistic(10, "y", {}), "maxIter") == (1000,)
+    assert size(_forest(10, "y", {}), "numTrees", "maxDepth") == (100, 10)
+    assert size(_boosted(10, "y", {}), "maxIter", "maxDepth") == (100, 6)
