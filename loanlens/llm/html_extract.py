@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks on
 their own: by where they stand (menus, footers, forms and the like are out), by
 link density, by length and by stop-word density. Blocks too short or too
-unclear to decide are left open; the second pass gives each the class of the
+unclear to decide, and linked ones of an ``article`` or ``main``, are left open; the second pass gives each the class of the
 nearest decided neighbour. Inside a page's ``article`` or ``main`` only blocks
 of that part count as neighbours, and open ones without any are kept; so are
 those of a page without such a part, else open blocks outside it are dropped.
@@ -101,13 +101,15 @@ def blocks(page: str) -> list[Block]:
     found, pieces = [], []
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, out, number of its main part
     links, mains, at = 0, 0, 0
+    p_out = False  # of the paragraph, up to the next block-level tag
 
     def state() -> tuple[bool, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     def end_block() -> None:
         if pieces:
-            b = Block(pieces, *state())
+            out, main = state()
+            b = Block(pieces, out or p_out, main)
             if b.text:
                 found.append(b)
             pieces.clear()
@@ -126,6 +128,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             end_block()
             links = 0
+            p_out = tag == "p" and not m["close"] and is_out(tag, rest, False)
         if tag in VOID_TAGS or tag == "p" or rest.endswith("/"):
             continue  # an unclosed paragraph must not hold what follows it
         if m["close"]:
@@ -158,8 +161,10 @@ def stop_density(text: str) -> float:
 
 def first_pass(b: Block) -> bool | None:
     """True for main text, False for anything else, None where open."""
-    if b.out or b.linked > LINKED:
+    if b.out:
         return False
+    if b.linked > LINKED:
+        return None if b.main else False
     if len(b.text) < SHORT:
         return None
     if len(b.text) >= LONG and (b.main or stop_density(b.text) >= STOP_HIGH):
@@ -178,8 +183,7 @@ def second_pass(found: list[Block], classes: list[bool | None]) -> list[bool]:
         if not b.out:
             parts.setdefault(b.main, []).append(i)
     for main, members in parts.items():
-        decided = [k for k, i in enumerate(members) if classes[i] is not None
-                   and not (main and classes[i] is False)]
+        decided = [k for k, i in enumerate(members) if classes[i] is not None]
         nxt = 0
         for k, i in enumerate(members):
             if classes[i] is not None:

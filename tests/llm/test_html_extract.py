@@ -56,3 +56,16 @@ def test_frame_edges(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.n_chars, r.text) for r in out.collect()) == [(0, ""), (0, ""), (len(STORY), STORY)]
     assert he.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_linked_blocks_of_the_main_part_stay():
+    cited = "<ul><li><a href='/1'>First cited work</a></li><li><a href='/2'>Second cited work</a></li></ul>"
+    page = f"<body><p><a href='/'>A link outside</a></p><article><h1><a href='/t'>Linked title</a></h1><p>{STORY}</p>{cited}</article></body>"
+    assert he.main_text(page) == f"Linked title\n{STORY}\nFirst cited work\nSecond cited work"
+    assert he.main_text(f"<main>{cited}</main>") == "First cited work\nSecond cited work"
+
+
+def test_paragraphs_are_taken_out_by_their_names():
+    for rest in ("class='advert'", "class=cookie-notice", "id='share'", "hidden", "role=alert"):
+        page = f"<article><p>{STORY}</p><p {rest}>{STORY} <b>Out</b> too.<p>{STORY} Kept.</p><p {rest}>Out</p>Tail</article>"
+        assert he.main_text(page) == f"{STORY}\n{STORY} Kept.\nTail", rest
