@@ -114,13 +114,15 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
                  train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
                  shap_sample: int | None = None, out_dir: str | None = None,
                  evaluate: bool = True, importance: bool = True, prep_options: dict | None = None,
-                 **params) -> TrainingRun:
+                 background_sample: int | None = None, **params) -> TrainingRun:
     """The full training run as Spark jobs; returns metric tables.
 
     ``evaluate=False`` fits only what scoring needs (matrix state, model,
     training defaults, isotonic map) and skips the holdout metrics.
     Importance explains every training row; ``shap_sample`` asks for a seeded
-    sample instead, ``importance=False`` leaves it out."""
+    sample instead, ``importance=False`` leaves it out. The background of the
+    linear model is the train split; ``background_sample`` asks for a seeded
+    sample (the original takes 100 rows)."""
     ensure_checkpoint_dir(spark)
     # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
     # statistics): written once to the shared folder, read back columnar.
@@ -178,7 +180,8 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         if hasattr(model.stages[-1], "featureImportances"):
             shap = ex.tree_shap(sample, model, names)
         else:
-            shap = ex.linear_shap(sample, model, names, seeded_sample(train, 100, seed=7))
+            background = seeded_sample(train, background_sample, seed=7) if background_sample else train
+            shap = ex.linear_shap(sample, model, names, background)
         explained = ex.global_importance(shap, names)
 
     metrics = spark.createDataFrame([(

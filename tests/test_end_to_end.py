@@ -173,3 +173,21 @@ def test_evaluation_tables_of_a_saved_model(spark, run):
     assert cls.tn + cls.fp + cls.fn + cls.tp == first.n
     smaller = evaluation_tables(spark, loans, r.artifacts, train_frac=0.8, val_frac=0.1)["metrics"].first()
     assert smaller.n < first.n
+
+
+@pytest.mark.parametrize("asked", [None, 100])
+def test_linear_background_is_the_train_split(spark, run, monkeypatch, asked):
+    from loanlens.plans import jobs
+
+    class Reached(Exception):
+        pass
+
+    def linear_shap(df, model, names, background):
+        raise Reached(background.count(), df.count())
+
+    loans, _ = run
+    monkeypatch.setattr(jobs.ex, "linear_shap", linear_shap)
+    with pytest.raises(Reached) as reached:
+        jobs.run_training(spark, loans, "logistic", maxIter=5, background_sample=asked)
+    rows, explained = reached.value.args
+    assert explained > 100 and rows == (asked or explained)
