@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from loanlens.llm import (
-    classifier, html_extract, jaccard_join, license_scan, mixing, nearest, packing, pii,
+    classifier, filter_audit, html_extract, jaccard_join, license_scan, mixing, nearest, packing, pii,
     quality_rules, token_counts)
 from loanlens.llm.common import read_table, whole_text, word_count
 from loanlens.session import ensure_checkpoint_dir, materialize
@@ -80,6 +80,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, F.col("id") % 50 == 0, k=5)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -92,9 +97,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_license_scan": op9_license_scan,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": quality_rules.SQL, "op2_mixing": mixing.sql(),
-            "op6_jaccard_join": jaccard_join.SQL}
+            "op6_jaccard_join": jaccard_join.SQL, "op11_filter_audit": filter_audit.SQL}
