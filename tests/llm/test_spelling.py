@@ -93,10 +93,26 @@ def test_one_edit_against_distance():
         assert spelling.one_edit(a, b) == (distance(a, b) == 1)
 
 
+def test_pairs_of_a_node_at_every_table_size(monkeypatch):
+    """The search by subtrees, by tables and by parts of tables finds the same."""
+    import numpy as np
+    draw = random.Random(8)
+    words = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(1, 6))) for _ in range(250)} | {"a" * 90, "a" * 91})
+    vec = np.array([[w.count(c) for c in "abc"] for w in words])
+    want = {(a, b) for a in words for b in words if a < b and distance(a, b) == 1}
+    for size in (1, 30, 500, 10 ** 6):
+        monkeypatch.setattr(spelling, "MEETINGS_AT_ONCE", size)
+        monkeypatch.setattr(spelling, "PAIRS_AT_ONCE", 1 + size // 3)
+        # every word visits as itself and from every budget that leads to the top node
+        i, j = spelling.node_pairs(words, vec, np.zeros(len(words), np.int64))
+        got = [tuple(sorted((words[a], words[b]))) for a, b in zip(i, j)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_nulls_repeated_rows_long_texts_and_ties(spark):
     rows = [(None, "Alpha alpha ALPHA alphb alphb alphb"), (None, None), (1, ""), (2, "gamma " * 30_000 + "x" * 5000),
             (2, "gamma " * 3 + "gamme " * 3 + "gammi " * 3), (2, "gamma " * 3), (3, ("q" * 5000 + " ") * 3),
-            (3, "École école ÉCOLE École " * 2), (4, "amber " * 40 + "ambxr " * 9 + "abxr abxrs abxrs abxrs " * 4)]
+            (3, "École école ÉCOLE École " * 3), (4, "amber " * 40 + "ambxr " * 9 + "abxr abxrs abxrs abxrs " * 4)]
     got = found(spark, rows)
     assert got == brute(rows)
     assert got["alpha"][:2] == (None, "alpha") and got["alpha"][3] == 1  # as frequent as its near word: no form
