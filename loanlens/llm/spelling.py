@@ -31,7 +31,8 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +44,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_COUNT, RATIO = 5, 3, 2
 DROP_EVERY = 97
 GROUPS, FIRST_DEPTH, STEP = 16, 4, 4
-NODE_ROWS = 20_000
+NODE_ROWS = 100_000
+#: Meetings of visitors and words that a task looks at in one table, words that
+#: it compares at a time, and the longest word that it keeps in a table.
+MEETINGS_AT_ONCE, PAIRS_AT_ONCE, TABLE_CHARS = 200_000, 50_000, 64
 #: What a path has spent: nothing, the surplus, the surplus and then the deficit.
 EVEN, LONGER, REPLACED = 0, 1, 2
 
 
 def ascii_lower(word: Column) -> Column:
     """A-Z in lower case, other letters as they are."""
-    return F.when(word.rlike("[\\u00C0-\\u00FF]"), F.translate(word, UPPER, LOWER)).otherwise(F.lower(word))
+    ascii_only = F.octet_length(word) == F.char_length(word)
+    return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def word_counts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS,
@@ -61,7 +66,7 @@ def word_counts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
         F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"),
         F.explode(F.regexp_extract_all(whole_text(text), F.lit(LETTER_RUN), F.lit(0))).alias("run"))
     runs = runs.select("id", ascii_lower(F.col("run")).alias("run"))
-    runs = runs.withColumn("h", F.crc32(F.encode(F.concat("id", F.lit(":"), "run"), "UTF-8")))
+    runs = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")))
     at = (F.col("h") % F.char_length("run")).cast("int")
     shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2, F.char_length("run")))
     word = F.when(F.col("h") % drop_every == 0, shorter).otherwise(F.col("run"))
@@ -133,59 +138,113 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + (len(a) == len(b)):] == b[i + 1:]
 
 
-def node_pairs(words: list[str], vec: np.ndarray, spent: np.ndarray):
+class Letters:
+    """Compares many pairs of a node's words at a time; words too long for the
+    table of code points are compared one by one."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.array([w if len(w) <= TABLE_CHARS else "" for w in words] + ["xx"])
+        self.table = short.view(np.uint32).reshape(len(short), -1)
+
+    def near(self, i: np.ndarray, j: np.ndarray, spent: np.ndarray) -> np.ndarray:
+        """Which of the pairs (visitor i, word j) differ by one edit that agrees
+        with what the path has spent."""
+        out = (self.length[j] - self.length[i] == (spent == LONGER))
+        for k in np.flatnonzero(out & (np.maximum(self.length[i], self.length[j]) > TABLE_CHARS)):
+            out[k] = one_edit(self.words[i[k]], self.words[j[k]])
+        rest = np.flatnonzero(out & (np.maximum(self.length[i], self.length[j]) <= TABLE_CHARS))
+        for at in np.array_split(rest, len(rest) // PAIRS_AT_ONCE + 1):
+            a, b = self.table[i[at]], self.table[j[at]]
+            unlike = a != b
+            # an inserted code point: from the first place that differs on, all is moved by one
+            moved = np.logical_and(a[:, :-1] != b[:, 1:], np.logical_or.accumulate(unlike, axis=1)[:, :-1]).any(axis=1)
+            out[at] = np.where(spent[at] == LONGER, ~moved, unlike.sum(axis=1) == 1)
+        return out
+
+
+def node_pairs(words: list[str], vec: np.ndarray, spent: np.ndarray) -> np.ndarray:
     """Pairs (i, j) of near words at one node, each once. ``vec`` holds the
     counts that the node leaves open; rows with nothing spent are the node's
-    own words and, like the others, its visitors."""
+    own words and, like the others, its visitors.
+
+    The search goes depth first, a subtree with all visitors whose budget
+    reaches it; a subtree with few meetings is searched as one table of them."""
     own = np.flatnonzero(spent == EVEN)
     depth = vec.shape[1]
     if depth:
         own = own[np.lexsort(vec[own].T[::-1])]
-    # depth first: a node is a range of the words in vector order, with the
-    # visitors whose budget reaches it
+    order = np.empty(len(words), np.int64)
+    order[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    letters, found = Letters(words), []
+
+    def step(more, has):
+        up, down = (more == 1) & (has == EVEN), (more == -1) & (has == LONGER)
+        return (more == 0) | up | down, np.where(up, LONGER, np.where(down, REPLACED, has))
+
+    def meet(lo, hi, level, who, has):
+        """All meetings of a subtree, group after group."""
+        if level < depth:
+            go, now = step(vec[own[lo:hi], level][None, :] - vec[who, level][:, None], has[:, None])
+            i, j = np.nonzero(go)
+            i, j, now = who[i], own[lo + j], now[i, j]
+        else:
+            i, j, now = np.repeat(who, hi - lo), np.tile(own[lo:hi], len(who)), np.repeat(has, hi - lo)
+        for g in range(level + 1, depth):
+            go, now = step(vec[j, g] - vec[i, g], now)
+            i, j, now = i[go], j[go], now[go]
+        once = (now != EVEN) | (order[i] < order[j])
+        i, j, now = i[once], j[once], now[once]
+        if len(i):
+            ok = letters.near(i, j, now)
+            found.append(np.stack([i[ok], j[ok]]))
+
     stack = [(0, len(own), 0, np.arange(len(words)), spent)]
     while stack:
         lo, hi, level, who, has = stack.pop()
-        if level == depth:
-            for j in own[lo:hi]:
-                for i, s in zip(who, has, strict=True):
-                    a, b = words[i], words[j]
-                    if (s != EVEN or a < b) and len(b) - len(a) == (s == LONGER) and one_edit(a, b):
-                        yield i, j
-            continue
-        counts = vec[own[lo:hi], level]
-        starts = np.flatnonzero(np.diff(counts, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], hi - lo), strict=True):
-            more = counts[a] - vec[who, level]
-            up, down = (more == 1) & (has == EVEN), (more == -1) & (has == LONGER)
-            go = (more == 0) | up | down
-            if go.any():
-                stack.append((lo + a, lo + b, level + 1, who[go], np.where(up, LONGER, np.where(down, REPLACED, has))[go]))
+        if (hi - lo) * len(who) <= MEETINGS_AT_ONCE:
+            meet(lo, hi, level, who, has)
+        elif level == depth or hi - lo == 1:
+            n = max(1, MEETINGS_AT_ONCE // (hi - lo))
+            for k in range(0, len(who), n):
+                meet(lo, hi, level, who[k:k + n], has[k:k + n])
+        else:
+            counts = vec[own[lo:hi], level]
+            starts = np.flatnonzero(np.diff(counts, prepend=-1))
+            for a, b in zip(starts, np.append(starts[1:], hi - lo), strict=True):
+                go, now = step(counts[a] - vec[who, level], has)
+                if go.any():
+                    stack.append((lo + a, lo + b, level + 1, who[go], now[go]))
+    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
 
 def _search(batches):
     """Nodes one after another: a partition's rows come sorted by path."""
-    def found(node: pd.DataFrame):
-        words, n = node["word"].tolist(), node["n"].to_numpy()
-        depth = node["depth"].iloc[0]
-        vec = np.stack(node["vec"].to_numpy())[:, depth:].astype(np.int64)
-        pairs = np.array(list(node_pairs(words, vec, node["spent"].to_numpy())), dtype=np.int64).reshape(-1, 2)
-        for a, b in (pairs.T, pairs.T[::-1]):
+    def found(parts: list[pa.RecordBatch]):
+        node = pa.Table.from_batches(parts).combine_chunks()
+        words, n = node["word"].to_pylist(), node["n"].to_numpy()
+        vec = node["vec"].chunk(0)
+        counts = vec.flatten().to_numpy().reshape(len(words), -1)[:, node["depth"][0].as_py():]
+        i, j = node_pairs(words, counts.astype(np.int64), node["spent"].to_numpy().astype(np.int64))
+        word = pa.array(words)
+        for a, b in ((i, j), (j, i)):
             if len(a):
-                yield pd.DataFrame({"word": [words[i] for i in a], "near": [words[i] for i in b], "near_n": n[b]})
+                yield pa.RecordBatch.from_arrays([word.take(pa.array(a)), word.take(pa.array(b)), pa.array(n[b])],
+                                                 ["word", "near", "near_n"])
 
-    kept: list[pd.DataFrame] = []
+    kept: list[pa.RecordBatch] = []
     for batch in batches:
-        ends = np.flatnonzero(batch["path"].to_numpy()[1:] != batch["path"].to_numpy()[:-1]) + 1
-        for lo, hi in zip([0, *ends], [*ends, len(batch)], strict=True):
-            node = batch.iloc[lo:hi]
-            if kept and len(node) and kept[0]["path"].iloc[0] != node["path"].iloc[0]:
-                yield from found(pd.concat(kept))
+        runs = pc.run_end_encode(batch["path"])
+        lo = 0
+        for path, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if kept and kept[0]["path"][0].as_py() != path:
+                yield from found(kept)
                 kept = []
-            if len(node):
-                kept.append(node)
+            kept.append(batch.slice(lo, hi - lo))
+            lo = hi
     if kept:
-        yield from found(pd.concat(kept))
+        yield from found(kept)
 
 
 def near_words(words: DataFrame, groups: list[str], node_rows: int = NODE_ROWS) -> DataFrame:
@@ -209,7 +268,7 @@ def near_words(words: DataFrame, groups: list[str], node_rows: int = NODE_ROWS)
     else:
         settled.append(gapped(rows).withColumn("depth", F.lit(len(groups))))
     pairs = [x.select("path", "depth", "word", "n", "vec", "spent").repartition("path")
-             .sortWithinPartitions("path").mapInPandas(_search, "word string, near string, near_n long") for x in settled]
+             .sortWithinPartitions("path").mapInArrow(_search, "word string, near string, near_n long") for x in settled]
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
