@@ -12,7 +12,7 @@ import public_tokenizers
 
 from loanlens.llm import (
     classifier, filter_audit, html_extract, jaccard_join, license_scan, mixing, nearest, packing, pii,
-    quality_rules, spelling, token_counts)
+    quality_rules, spelling, token_counts, toxicity)
 from loanlens.llm.common import read_table, whole_text, word_count
 from loanlens.session import ensure_checkpoint_dir, materialize
 
@@ -85,6 +85,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return spelling.variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_filter_audit": op11_filter_audit,
+        "op12_toxicity": op12_toxicity,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
