@@ -84,7 +84,7 @@ def test_a_toxic_window_is_shorter_behind_the_toxic_dictionary():
     toxic, ordinary = toxicity.extended(toxicity.trained([], 256, [" house ", " river "]), [" idiot ", " clown "])
     assert toxic.endswith(toxicity.TAIL) and b" idiot " in toxic and b" river " in ordinary
     saved = toxicity.Measure(toxic, ordinary)([" idiot ", " house ", " xyz "])
-    assert saved[0] >= 3 and not saved[1:].any()
+    assert saved[0] >= 3 and saved[1] <= 0 and saved[2] == 0
 
 
 def test_telling_groups_cover_one_after_another():
