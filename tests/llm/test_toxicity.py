@@ -96,7 +96,8 @@ def test_telling_groups_cover_one_after_another():
 
 def test_logistic_is_the_minimum():
     draw = np.random.default_rng(3)
-    x, y = draw.normal(size=(60, 3)), (draw.random(60) < 0.3).astype(int)
+    x = draw.normal(size=(60, 3))
+    y = (x.sum(axis=1) + 2 * draw.normal(size=60) > 0.5).astype(int)
     own = np.where(y == 1, 30 / y.sum(), 30 / (1 - y).sum())
 
     def loss(w):
@@ -104,7 +105,10 @@ def test_logistic_is_the_minimum():
         return (own * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (w[:-1] ** 2).sum()
 
     w = toxicity.logistic(x, y)
+    assert (w[:-1] > 0).all()
     assert all(loss(w) <= loss(w + draw.normal(size=4) * 10.0 ** -k) + 1e-6 for k in range(4) for _ in range(30))
+    against = toxicity.logistic(np.column_stack([x, -x[:, 0]]), y)
+    assert against[3] == 0 and (against[:3] > 0).all()
 
 
 def test_edges(spark, learned):
