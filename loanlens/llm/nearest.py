@@ -8,17 +8,20 @@ bar, and only pairs whose upper bound reaches it are computed in double
 precision from the original vectors. Heaps keep each tile's k best, and heaps
 again merge the tiles of a query.
 
-Blocks are packed into one row each; query blocks are copied once to every
-candidate block of their dimension and joined to it by an equal key, so a task
-holds one tile at a time and candidates are shuffled once. A vector that many
-rows share spreads over the blocks like any other rows.
+Rows are numbered in a written table, and blocks of them are packed into one
+row each. Query blocks are copied once to every candidate block number, which
+are known from the count, and joined to it by an equal key, so a task holds one
+tile at a time and candidates are shuffled once. A vector that many rows share
+spreads over the blocks like any other rows.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
-components take no part, as query or candidate, nor do rows with a null id;
-rows repeating an id count as that id's row once (the smallest vector, component
-by component); vectors are compared with those of the same length only; equal
-scores go to the smaller id; fewer candidates than k give fewer rows; an empty
-table gives none. Other columns are ignored.
+components take no part, as query or candidate; every other row is a candidate
+of its own, also where it repeats an id or has none (its vec_id is then null),
+and only a query's own row is left out; rows repeating a query's id are queries
+of their own; a null id is no query unless ``is_query`` says so; vectors are
+compared with those of the same length only; equal scores go to the smaller id,
+null last; fewer candidates than k give fewer rows; an empty table gives none.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.session import materialize
+
 BLOCK = 4096
 QUERY_BLOCK = 1024
 #: Widest int8 product summed exactly in float32.
 EXACT_DIMS = 2 ** 24 // (127 * 127)
 SLACK = 1e-9
-PACKED = "block long, dim int, ids binary, codes binary, scale binary, lost binary, vectors binary"
+PACKED = "block long, dim int, rows binary, ids binary, named binary, codes binary, scale binary, lost binary, vectors binary"
+FOUND = "query_row long, query_id long, vec_row long, vec_id long, score double"
 
 
 def usable(v: Column) -> Column:
@@ -58,23 +64,25 @@ def _pack(key, rows: pd.DataFrame) -> pd.DataFrame:
     x = np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), key[1])
     codes, scale, lost = quantise(x)
     return pd.DataFrame([{
-        "block": key[0], "dim": key[1], "ids": rows["id"].to_numpy(np.int64).tobytes(),
+        "block": key[0], "dim": key[1], "rows": rows["row"].to_numpy(np.int64).tobytes(),
+        "ids": rows["id"].to_numpy(np.int64).tobytes(), "named": rows["named"].to_numpy(bool).tobytes(),
         "codes": codes.tobytes(), "scale": scale.tobytes(), "lost": lost.tobytes(),
         "vectors": x.tobytes()}])
 
 
-def packed(vectors: DataFrame, rows: int) -> DataFrame:
-    """(id, v) -> blocks of about ``rows`` vectors of one dimension."""
-    n = max(1, -(-vectors.count() // rows))
-    return (vectors.withColumn("dim", F.size("v"))
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
+def packed(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(row, id, v) -> about ``blocks`` blocks of vectors of one dimension."""
+    return (vectors.withColumn("dim", F.size("v")).withColumn("named", F.col("id").isNotNull())
+            .withColumn("id", F.coalesce("id", F.lit(0)))
+            .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
             .groupBy("block", "dim").applyInPandas(_pack, PACKED))
 
 
 class Side:
     def __init__(self, r, prefix: str):
         of = lambda c, t: np.frombuffer(r[prefix + c], t)
-        self.ids, self.scale, self.lost = of("ids", np.int64), of("scale", np.float64), of("lost", np.float64)
+        self.rows, self.ids, self.named = of("rows", np.int64), of("ids", np.int64), of("named", bool)
+        self.scale, self.lost = of("scale", np.float64), of("lost", np.float64)
         self.codes = of("codes", np.int8).reshape(len(self.ids), -1)
         self.x = of("vectors", np.float64).reshape(len(self.ids), -1)
 
@@ -93,40 +101,51 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def tile_best(q: Side, c: Side, k: int) -> list[tuple[int, int, float]]:
+def tile_best(q: Side, c: Side, k: int) -> list[tuple]:
+    """(query row, query id, row, id, score) of each query's ``k`` best of a tile."""
     near, off = approximate(q, c)
-    own = q.ids[:, None] == c.ids[None, :]
+    own = q.rows[:, None] == c.rows[None, :]
     low = np.where(own, -np.inf, near - off)
     bar = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
     qi, ci = np.nonzero((near + off >= bar[:, None]) & ~own)
     score = cosine(q.x[qi], c.x[ci])
     out, ends = [], np.searchsorted(qi, np.arange(len(q.ids) + 1))
+    name = lambda side, i: int(side.ids[i]) if side.named[i] else None
     for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        best = heapq.nsmallest(k, zip(-score[a:b], c.ids[ci[a:b]], strict=True))
-        out += [(int(q.ids[i]), int(v), float(-s)) for s, v in best]
+        at = ci[a:b]
+        best = heapq.nsmallest(k, zip(-score[a:b], ~c.named[at], c.ids[at], c.rows[at], at, strict=True))
+        out += [(int(q.rows[i]), name(q, i), int(row), name(c, j), float(-s)) for s, _, _, row, j in best]
     return out
 
 
+def _table(rows: list[tuple], types: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(types)).astype(types)
+
+
 def _tiles(k: int):
+    types = {"query_row": "int64", "query_id": "Int64", "vec_row": "int64", "vec_id": "Int64", "score": "float64"}
+
     def run(batches):
         for b in batches:
             for r in b.to_dict("records"):
-                found = tile_best(Side(r, "q_"), Side(r, ""), k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                yield _table(tile_best(Side(r, "q_"), Side(r, ""), k), types)
     return run
 
 
 def _merge(k: int):
     """Merges the tiles' bests; a partition holds all rows of its queries."""
+    types = {"query_id": "Int64", "rank": "int32", "vec_id": "Int64", "score": "float64"}
+
     def run(batches):
-        heaps: dict[int, list] = {}
+        heaps: dict[int, tuple[object, list]] = {}
         for b in batches:
-            for q, v, s in zip(b["query_id"], b["vec_id"], b["score"], strict=True):
-                h = heaps.setdefault(q, [])
-                (heapq.heappush if len(h) < k else heapq.heappushpop)(h, (s, -v))
-        rows = [(q, i, -v, s) for q, h in heaps.items()
-                for i, (s, v) in enumerate(sorted(h, reverse=True), 1)]
-        yield pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"]).astype({"rank": "int32"})
+            for q, name, row, v, s in zip(b["query_row"], b["query_id"].astype("Int64"), b["vec_row"],
+                                          b["vec_id"].astype("Int64"), b["score"], strict=True):
+                unnamed = v is pd.NA
+                h = heaps.setdefault(q, (name, []))[1]
+                (heapq.heappush if len(h) < k else heapq.heappushpop)(h, (s, not unnamed, 0 if unnamed else -v, -row))
+        yield _table([(name, i, -v if named else None, s) for name, h in heaps.values()
+                      for i, (s, named, v, _) in enumerate(sorted(h, reverse=True), 1)], types)
     return run
 
 
@@ -134,14 +153,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, *, vec_id: str = "
             embedding: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest cosine for
     each row that ``is_query`` (over column ``id``) picks."""
-    v = (vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
-         .where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v")))
-    candidates = packed(v, block)
-    queries = packed(v.where(is_query), query_block)
-    homes = candidates.select("dim", "block")
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    spread = queries.join(homes, F.col("q_dim") == F.col("dim")).drop("dim", "q_block")
-    tiles = candidates.join(spread, ["block"]).where(F.col("dim") == F.col("q_dim"))
-    best = tiles.mapInPandas(_tiles(k), "query_id long, vec_id long, score double")
-    return best.repartition("query_id").mapInPandas(
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
+    v = v.where(usable(F.col("v").cast("array<double>"))).withColumn("row", F.monotonically_increasing_id())
+    v = materialize(v, "vectors").withColumn("v", F.col("v").cast("array<double>"))  # one number a row, for both sides
+    chosen = v.where(is_query)
+    blocks, query_blocks = (max(1, -(-x.count() // n)) for x, n in ((v, block), (chosen, query_block)))
+    candidates, queries = packed(v, blocks), packed(chosen, query_blocks)
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns if c not in ("block", "dim")], "dim",
+                             F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    tiles = candidates.join(queries, ["block", "dim"])
+    best = tiles.mapInPandas(_tiles(k), FOUND)
+    return best.repartition("query_row").mapInPandas(
         _merge(k), "query_id long, rank int, vec_id long, score double")

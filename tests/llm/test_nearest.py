@@ -53,8 +53,30 @@ def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]),
             (6, [1.0, 1.0]), (7, []), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (6, [1.0, 1.0]), (50, [2.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
-    got = sorted(tuple(r)[:3] for r in nearest.nearest(df, F.col("id") % 50 == 0).collect())
-    assert got == [(0, 1, 50), (0, 2, 6), (50, 1, 0), (50, 2, 6)]
+    got = sorted((tuple(r)[:3] for r in nearest.nearest(df, F.col("id") % 50 == 0).collect()))
+    # both rows 6 are candidates, and so is the row without an id, after the named ones of its score
+    assert [x for x in got if x[1] > 2] == [(0, 3, 6), (0, 4, 6), (50, 3, 6), (50, 4, 6)]
+    assert {x for x in got if x[1] <= 2} == {(0, 1, 50), (0, 2, None), (50, 1, 0), (50, 2, None)}
+
+
+def test_rows_repeating_an_id_are_candidates_and_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [-1.0, 0.0]), (None, [1.0, -0.2]),
+            (50, [0.0, 2.0]), (50, [0.0, 2.0]), (50, [3.0, 3.0]), (None, [1.0, -0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, F.col("id") % 50 == 0, k=3, block=2, query_block=2).collect()
+    x = np.array([v for _, v in rows])
+    norm = np.sqrt((x * x).sum(axis=1))
+    want = []
+    for i, (q, _) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            s = (x * x[i]).sum(axis=1) / (norm * norm[i])
+            best = sorted((-s[j], rows[j][0] is None, rows[j][0] or 0, j) for j in range(len(rows)) if j != i)[:3]
+            want += [(q, r, rows[j][0], -d) for r, (d, _, _, j) in enumerate(best, 1)]
+    key = lambda t: (t[0], t[1], t[2] is None, t[2] or 0, t[3])
+    got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    np.testing.assert_allclose([g[3] for g in got], [w[3] for w in want], atol=1e-15)
+    assert (0, 1, 1) in {g[:3] for g in got}
 
 
 def test_empty_table(spark):
