@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loanlens.functions.columns import nan_to_null_all
 from loanlens.session import materialize
+from loanlens.sources.quoted_csv import read_quoted_csv
 from loanlens.sources.schemas import APPLICATION_SCHEMA, MISSING_TOKENS
 
 
@@ -67,20 +68,23 @@ def with_loan_key(df: DataFrame, key: str = "loan_id") -> DataFrame:
 
 
 def load_raw_data(spark: SparkSession, path: str | Path, schema: T.StructType | None = None,
-                  key: str = "loan_id") -> DataFrame:
+                  key: str = "loan_id", parallel: bool = True) -> DataFrame:
     """A1: read the raw loan CSV; quoted multi-line text fields are kept whole.
     Columns are read as text and typed by what they hold, unless a ``schema`` is
     given. ``str`` and ``Path`` work.
 
-    A CSV file with line breaks inside quotes cannot be split, so each file is
-    one task: its rows are written once as Parquet, and every later pass reads
-    that copy in parallel."""
+    Large files are read by many tasks (``quoted_csv``); ``parallel=False``
+    leaves them to Spark's own multi-line reader, one task a file. Rows are
+    written once as Parquet for all later passes."""
     path = str(path)
     given = schema is not None
     if not given:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in _header(spark, path)])
-    df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-          .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    if parallel:
+        df = read_quoted_csv(spark, path, schema)
+    else:
+        df = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
+              .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     df = materialize(normalize_missing(df), "raw-loans")
     return with_loan_key(df if given else type_columns(df), key)
 
