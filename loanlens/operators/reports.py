@@ -10,7 +10,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.columns import numeric_columns
@@ -159,27 +161,63 @@ def _numeric(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return cols
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
-                       chunk: int = 2000) -> DataFrame:
+GRAM = "a int, b int, n double, sa double, sb double, saa double, sbb double, sab double"
+#: Share of a sum of squares below which a variance is rounding.
+NO_VARIANCE = 1e-12
+
+
+def gram_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the rows where both columns of a pair are present (NaN:
+    absent): n, sa, sb, saa, sbb, sab, each columns x columns."""
+    here = ~np.isnan(x)
+    value, m = np.where(here, x, 0.0), here.astype(float)
+    sa, saa = value.T @ m, (value * value).T @ m
+    return np.stack([m.T @ m, sa, sa.T, saa, saa.T, value.T @ value])
+
+
+def _gram_blocks(d: int):
+    a, b = np.triu_indices(d)
+
+    def run(batches):
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            if batch.num_rows:
+                total += gram_sums(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(t[a, b]) for t in total]],
+            ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+    return run
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """pairwise-complete Pearson correlation, long form (col_a, col_b, corr).
 
-    Each pair is one ``corr`` aggregate (null pairs skipped per pair), ``chunk``
-    of them to a scan; both orders of a pair come from the same aggregate.
+    Every task multiplies its batches as masked matrices and gives one row for
+    each pair of columns, whatever its number of rows; those are summed. Values
+    are moved by their column's mean first (one scan), so that sums of squares
+    keep their digits. NaN and infinite values count as absent, like null. Null without two rows, or where a column does not vary.
     """
     cols = _numeric(df, columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    out = None
-    for start in range(0, len(pairs), chunk):
-        batch = pairs[start:start + chunk]
-        wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{j}")
-                        for j, (a, b) in enumerate(batch)])
-        both = [(x, y, j) for j, (a, b) in enumerate(batch) for x, y in {(a, b), (b, a)}]
-        part = wide.select(F.explode(F.array(*[
-            F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"),
-                     F.col(f"_c{j}").alias("corr")) for x, y, j in sorted(both)])).alias("p")
-        ).select("p.*")
-        out = part if out is None else out.unionByName(part)
-    return out.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    finite = [F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in x.columns]
+    means = x.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(finite)]).first()
+    moved = x.select(*[(c - F.lit(float(means[i]))).alias(f"x{i}") for i, c in enumerate(finite)])
+    blocks = moved.mapInArrow(_gram_blocks(len(cols)), GRAM)
+    sums = blocks.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    n = F.col("n")
+
+    def variance(squares: str, total: str) -> Column:
+        v = n * F.col(squares) - F.col(total) * F.col(total)
+        return F.when(v > NO_VARIANCE * n * F.col(squares), v)
+
+    corr = (n * F.col("sab") - F.col("sa") * F.col("sb")) / F.sqrt(variance("saa", "sa")) / F.sqrt(variance("sbb", "sb"))
+    names = F.array(*[F.lit(c) for c in cols])
+    pair = lambda p, q: F.struct(F.get(names, F.col(p)).alias("col_a"), F.get(names, F.col(q)).alias("col_b"))
+    both = F.when(F.col("a") == F.col("b"), F.array(pair("a", "b"))).otherwise(F.array(pair("a", "b"), pair("b", "a")))
+    out = sums.select(F.explode(both).alias("p"), F.when(n > 1, corr).alias("corr"))
+    return out.select("p.col_a", "p.col_b", F.round("corr", 6).alias("corr"))
 
 
 def target_correlation(df: DataFrame, target: str = TARGET,
