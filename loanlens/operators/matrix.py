@@ -3,10 +3,10 @@
 ``MatrixPrep.fit`` runs three distributed passes - a numeric-coercion
 profile of the string columns, exact medians of all numeric columns in
 one job (value counts + bucketed running counts per column), and one
-vocabulary pass (distinct (column, value) pairs). The fitted state is
-small (one median per column, one sorted vocabulary per categorical
-column), is persisted as JSON, and is applied as literals, so transform
-is a single narrow projection that also works on streams.
+dictionary job over the distinct (column, value) pairs of all columns. The
+fitted state is small (one median per column, the sorted vocabulary or the
+dictionary path of each categorical column), is persisted as JSON, and is
+applied as literals or joins that also work on streams.
 """
 
 from __future__ import annotations
@@ -40,81 +40,106 @@ def category_as_string(df: DataFrame, columns: Sequence[str], token: str = MISSI
 
 
 def _bad_numeric(v: Column) -> Column:
-    d = v.try_cast("double")
-    return v.isNotNull() & (v != "") & (d.isNull() | F.isnan(d))
+    """Text that is neither a number nor a gap (null, empty or "nan")."""
+    return v.isNotNull() & (v != "") & v.try_cast("double").isNull()
+
+
+def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) of every row, values as text."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for c in columns])).alias("kv")).select("kv.column", "kv.value")
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) pairs, deduplicated map-side: the profile and the
     vocabulary only need distinct values, so casts run once per value."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for c in columns])).alias("kv")).select("kv.column", "kv.value")
-    return long.distinct()
+    return column_values(df, columns).distinct()
 
 
 # Vocabularies up to this size are applied as literal lookup maps; larger
-# (free-text-like) columns get a distributed code table instead.
+# (free-text-like) columns are joined to their part of the dictionary. The
+# codes are the same.
 MAX_LITERAL_VOCABULARY = 10_000
 
 
-def profile_and_vocabulary(df: DataFrame, columns: Sequence[str],
+def dictionary(pairs: DataFrame, name: str = "dictionary") -> str:
+    """D5/D6 for all columns in one job: (value, code) with code = position of
+    the value among its column's sorted distinct values, written in one folder
+    a column (``column=...``). Returns the Parquet path.
+
+    The distinct (column, value) pairs are sorted globally once, whatever the
+    columns and their sizes; each pair is stamped with its partition and row id
+    and written, so the ids are fixed. A code is the number of the column's
+    pairs in earlier partitions (a window over partitions x columns rows) plus
+    the pair's place among the column's pairs of its own partition."""
+    from loanlens.session import materialize, scratch
+
+    pairs = pairs.where(F.col("value").isNotNull()).distinct()
+    stamped = materialize(pairs.orderBy("column", "value").select(
+        "column", "value", F.spark_partition_id().alias("_p"),
+        F.monotonically_increasing_id().alias("_m")), f"{name}-stamped")
+    per = stamped.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    w = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("column", "_p", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_m0")).alias("_o"))
+    # one row a partition and column that meet: at most partitions + columns
+    codes = stamped.join(F.broadcast(offsets), ["column", "_p"]).select(
+        "column", "value", (F.col("_o") + F.col("_m")).cast("long").alias("code"))
+    path = scratch(pairs.sparkSession, name)
+    codes.write.partitionBy("column").parquet(path)
+    return path
+
+
+def read_dictionary(spark, path: str) -> DataFrame:
+    """(column, value, code) of a ``dictionary``."""
+    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("value", T.StringType()),
+                           T.StructField("code", T.LongType())])
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def literal_vocabularies(spark, path: str, columns: Sequence[str], max_literal: int
+                         ) -> tuple[dict[str, list[str]], list[str]]:
+    """(sorted vocabularies of the columns with at most ``max_literal`` values,
+    the other columns). Sizes are known before any value is gathered."""
+    codes = read_dictionary(spark, path)
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = [c for c in columns if sizes.get(c, 0) > max_literal]
+    small = [c for c in columns if c not in large]
+    vocab: dict[str, list[str]] = {c: [] for c in small}
+    if any(sizes.get(c) for c in small):
+        for r in codes.where(F.col("column").isin(*small)).orderBy("column", "code").collect():
+            vocab[r["column"]].append(r["value"])
+    return vocab, large
+
+
+def profile_and_vocabulary(df: DataFrame, columns: Sequence[str], fill: str = MISSING_TOKEN,
                            max_literal: int = MAX_LITERAL_VOCABULARY
-                           ) -> tuple[list[str], dict[str, list[str]], list[str]]:
-    """D2 + D6 from one distinct-pairs table.
+                           ) -> tuple[list[str], dict[str, list[str]], dict[str, str]]:
+    """D2 + D6: (numeric-looking columns, sorted vocabularies of the small
+    categorical columns, dictionary paths of the large ones).
+
+    A column whose values are all numbers or gaps is numeric; gaps are no
+    category of it. Categories keep their gaps as ``fill``."""
+    from loanlens.session import materialize
 
-    Returns (numeric-looking columns, sorted vocabularies of the small
-    categorical columns, large categorical columns). The distinct count is
-    checked before anything is gathered: a column above ``max_literal``
-    distinct values is never collected, it is encoded via ``code_table``."""
     if not columns:
-        return [], {}, []
-    pairs = distinct_values(df, columns).persist()
-    try:
-        stats = {r["column"]: r for r in pairs.groupBy("column").agg(
-            F.sum(_bad_numeric(F.col("value")).cast("long")).alias("bad"),
-            F.count("value").alias("distinct")).collect()}
-        coerced = [c for c in columns if not (stats.get(c) and stats[c]["bad"])]
-        cats = [c for c in columns if c not in coerced]
-        large = [c for c in cats if stats[c]["distinct"] > max_literal]
-        small = [c for c in cats if c not in large]
-        vocab = {c: [] for c in small}
-        if small:
-            for r in (pairs.filter(F.col("column").isin(*small) & F.col("value").isNotNull())
-                      .groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("v"))
-                      .collect()):
-                vocab[r["column"]] = list(r["v"])
-    finally:
-        pairs.unpersist()
-    return coerced, vocab, large
-
-
-def code_table(df: DataFrame, column: str, fill: str | None = MISSING_TOKEN,
-               name: str = "codes") -> str:
-    """D5 for a large vocabulary, fully distributed: (value, code) with code =
-    position of the value in the sorted distinct values.
-
-    One execution sorts the distinct values globally (range partitioning on
-    sampled bounds) and stamps each row with its partition and row id; that
-    table is written to the shared folder, so the ids are fixed. Codes are
-    then the per-partition offsets (a window over #partitions rows) plus the
-    row's position inside its partition. Returns the Parquet path."""
-    from loanlens.session import materialize, write_table
-
-    v = F.col(column).cast("string")
-    if fill is not None:
-        v = F.coalesce(v, F.lit(fill))
-    distinct = df.select(v.alias("value")).filter(F.col("value").isNotNull()).distinct()
-    stamped = materialize(distinct.orderBy("value").select(
-        "value", F.spark_partition_id().alias("_p"),
-        F.monotonically_increasing_id().alias("_m")), f"{name}-stamped")
-    per = stamped.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_p", "_m0", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
-    # offsets has one row per sort partition: bounded by the partition count.
-    codes = stamped.join(F.broadcast(offsets), "_p").select(
-        "value", (F.col("_o") + F.col("_m") - F.col("_m0")).cast("long").alias("code"))
-    return write_table(codes, name)
+        return [], {}, {}
+    spark = df.sparkSession
+    pairs = materialize(distinct_values(df, columns), "distinct-values")
+    bad = {r["column"] for r in pairs.where(_bad_numeric(F.col("value"))).select("column").distinct().collect()}
+    coerced = [c for c in columns if c not in bad]
+    cats = [c for c in columns if c in bad]
+    if not cats:
+        return coerced, {}, {}
+    path = dictionary(pairs.where(F.col("column").isin(*cats)).withColumn(
+        "value", F.coalesce("value", F.lit(fill))))
+    vocab, large = literal_vocabularies(spark, path, cats, max_literal)
+    return coerced, vocab, {c: f"{path}/column={_folder(c)}" for c in large}
+
+
+def _folder(name: str) -> str:
+    """A column's name as Spark writes it in a partition folder."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^" or ord(c) < 32 or ord(c) == 127 else c for c in name)
 
 
 def encode_with_table(df: DataFrame, column: str, table_path: str, out_col: str,
@@ -149,37 +174,26 @@ def median_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "column", F.col("value").alias("median"))
 
 
-def category_vocabulary(df: DataFrame, columns: Sequence[str],
-                        fill: str | None = MISSING_TOKEN) -> dict[str, list[str]]:
-    """Sorted distinct values per column (code-point order), one job."""
+def category_vocabulary(df: DataFrame, columns: Sequence[str], fill: str | None = MISSING_TOKEN,
+                        max_literal: int = MAX_LITERAL_VOCABULARY) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """(sorted distinct values of each column with at most ``max_literal``,
+    dictionary paths of the others), one job; code-point order."""
     if not columns:
-        return {}
-    vals = [F.col(c).cast("string") for c in columns]
-    if fill is not None:
-        vals = [F.coalesce(v, F.lit(fill)) for v in vals]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(columns, vals,
-                                                                              strict=True)]))
-        .alias("kv")).select("kv.column", "kv.value")
-    rows = (long.filter(F.col("value").isNotNull()).groupBy("column")
-            .agg(F.array_sort(F.collect_set("value")).alias("vocab")).collect())
-    got = {r["column"]: list(r["vocab"]) for r in rows}
-    return {c: got.get(c, []) for c in columns}
+        return {}, {}
+    path = dictionary(_filled(df, columns, fill))
+    vocab, large = literal_vocabularies(df.sparkSession, path, columns, max_literal)
+    return vocab, {c: f"{path}/column={_folder(c)}" for c in large}
+
+
+def _filled(df: DataFrame, columns: Sequence[str], fill: str | None) -> DataFrame:
+    pairs = column_values(df, columns)
+    return pairs if fill is None else pairs.withColumn("value", F.coalesce("value", F.lit(fill)))
 
 
 def vocabulary_table(df: DataFrame, columns: Sequence[str],
                      fill: str | None = MISSING_TOKEN) -> DataFrame:
-    """D6 as a long table (column, value, code); stays distributed."""
-    vals = [F.col(c).cast("string") for c in columns]
-    if fill is not None:
-        vals = [F.coalesce(v, F.lit(fill)) for v in vals]
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in zip(columns, vals,
-                                                                              strict=True)]))
-        .alias("kv")).select("kv.column", "kv.value").filter(F.col("value").isNotNull())
-    distinct = long.distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.select("column", "value", (F.row_number().over(w) - 1).alias("code"))
+    """D6 as a long table (column, value, code), from one dictionary job."""
+    return read_dictionary(df.sparkSession, dictionary(_filled(df, columns, fill)))
 
 
 def encode(value: Column, vocab: Sequence[str]) -> Column:
@@ -264,18 +278,17 @@ class MatrixPrep:
 
     def fit(self, df: DataFrame, fit_on: DataFrame | None = None) -> MatrixPrepModel:
         """Fit on ``fit_on`` (default: ``df`` itself, all rows, as the
-        original does; pass the train split for leak-free statistics)."""
+        original does; pass the train split for leak-free statistics). Text columns
+        of numbers and gaps become numeric, their gaps the median."""
         src = fit_on if fit_on is not None else df
         skip = set(self.drop) | set(self.key_columns) | {self.target}
         feats = [f for f in src.schema.fields if f.name not in skip]
         strings = [f.name for f in feats if isinstance(f.dataType, T.StringType)]
         others = [f.name for f in feats if not isinstance(f.dataType, T.StringType)]
         bad_types = [f.name for f in feats if f.name in others and not _is_numeric(f.dataType)]
-        filled = category_as_string(src, strings, self.missing_token)
-        coerced, vocab, large = profile_and_vocabulary(filled, strings,
-                                                       self.max_literal_vocabulary)
-        tables = {c: code_table(filled, c, self.missing_token, name=f"codes-{c}")
-                  for c in large}
+        # numbers with gaps are numbers: the profile sees the columns before gaps are named
+        coerced, vocab, tables = profile_and_vocabulary(src, strings, self.missing_token,
+                                                        self.max_literal_vocabulary)
         categorical = [c for c in strings if c not in coerced]
         numeric = [c for c in others if c not in bad_types] + coerced
         num_src = src.select(*[

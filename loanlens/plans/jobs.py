@@ -26,7 +26,7 @@ from loanlens.operators.features import build_features, loan_size_edges
 from loanlens.operators.matrix import MatrixPrep, category_vocabulary, feature_defaults
 from loanlens.operators.splits import seeded_sample, split_bounds, time_based_split
 from loanlens.session import ensure_checkpoint_dir, materialize
-from loanlens.sources.sinks import read_json_artifact, write_json_artifact
+from loanlens.sources.sinks import path_exists, read_json_artifact, write_json_artifact
 
 # Raw categorical fields of the application form.
 API_CATEGORICAL_FIELDS = ("term", "grade", "sub_grade", "emp_length", "home_ownership",
@@ -81,15 +81,11 @@ class ScoringArtifacts:
 def load_champion(spark: SparkSession, primary: str | None, fallback: str | None = None
                   ) -> ScoringArtifacts:
     """The exported champion first, else the fallback location."""
-    errors = []
-    for p in (primary, fallback):
-        if not p:
-            continue
-        try:
-            return ScoringArtifacts.load(spark, p)
-        except Exception as e:  # noqa: BLE001 - try the next location
-            errors.append(f"{p}: {type(e).__name__}")
-    raise FileNotFoundError("no champion model found (" + "; ".join(errors) + ")")
+    tried = [p for p in (primary, fallback) if p]
+    for p in tried:
+        if path_exists(spark, f"{p.rstrip('/')}/state"):
+            return ScoringArtifacts.load(spark, p)  # a champion that is there but broken is an error
+    raise FileNotFoundError("no champion model at " + " or ".join(tried or ["any place"]))
 
 
 @dataclass
@@ -129,7 +125,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     base = materialize(prepare_loans(loans), "train-base")
     edges = loan_size_edges(base)
     feats = build_features(base, loan_size_edges=edges)
-    vocab_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)
+    vocab_api, tables_api = category_vocabulary(feats, API_CATEGORICAL_FIELDS)
     # the labelled split feeds the matrix statistics and the matrix itself
     split = materialize(time_based_split(feats, "issue_d", train_frac, val_frac), "split")
     prep = MatrixPrep(**(prep_options or {}))
@@ -149,7 +145,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         artifacts = ScoringArtifacts(
             model=model, calibrator=iso, feature_names=names,
             vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
-            loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
+            loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables},
             metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
                       "training_date": dt.datetime.now(dt.UTC).isoformat()})
         if out_dir:
@@ -195,7 +191,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     artifacts = ScoringArtifacts(
         model=model, calibrator=iso, feature_names=names,
         vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
-        loan_size_edges=edges, code_tables=dict(prep_model.code_tables),
+        loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables},
         metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
                   "training_date": dt.datetime.now(dt.UTC).isoformat(),
                   "test_auc": summary["roc_auc"], "test_ks": summary["ks"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def load_warehouse(df: DataFrame, table: str | None = None, jdbc_url: str | None
     return frame
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds ``path``; any other trouble with it is an error."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def write_json_artifact(spark: SparkSession, obj, path: str) -> None:
     """One small JSON document (vocabulary, defaults, metadata)."""
     spark.createDataFrame([(json.dumps(obj),)], "value string").coalesce(1).write.mode(

@@ -105,6 +105,38 @@ def test_padded_serving_quartiles(spark):
         assert g == labels[idx]
 
 
+def test_text_numbers_with_gaps_are_numeric(spark):
+    from loanlens.operators import matrix as mx
+    rows = [(0, "1", "a", None, "7"), (1, None, "nan", None, "NaN"), (2, "2", None, None, ""), (3, "nan", "b", None, "9.5"),
+            (4, "6", "1", None, None)]
+    df = spark.createDataFrame([(*r, 1.0, 0) for r in rows],
+                               "loan_id long, n string, c string, e string, f string, x double, target_default int")
+    model = mx.MatrixPrep().fit(df)
+    assert set(model.coerced_columns) == {"n", "e", "f"} and model.vocabulary == {"c": ["1", "a", "b", "nan"]}
+    assert model.medians["n"] == 2.0 and model.medians["f"] == 8.25 and model.medians["e"] is None
+    got = {r.loan_id: (r.n, r.c, r.e, r.f) for r in model.transform(df, assemble=False).collect()}
+    assert got == {0: (1.0, 1.0, None, 7.0), 1: (2.0, 3.0, None, 8.25), 2: (2.0, 3.0, None, 8.25),
+                   3: (2.0, 2.0, None, 9.5), 4: (6.0, 0.0, None, 8.25)}
+
+
+def test_one_dictionary_for_all_columns(spark):
+    """Codes are places among a column's sorted values, wherever the sort cuts."""
+    from loanlens.operators import matrix as mx
+    rng = __import__("random").Random(1)
+    rows = [(f"{rng.randrange(900):03d}", rng.choice("xyz"), rng.choice(["é", "e", "E", None]), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "`many/odd=name` string, few string, gaps string, none string").repartition(6)
+    got = {}
+    for r in mx.read_dictionary(spark, mx.dictionary(mx.column_values(df, df.columns))).collect():
+        got.setdefault(r["column"], []).append((r["code"], r["value"]))
+    for i, c in enumerate(df.columns):
+        assert sorted(got.get(c, [])) == list(enumerate(sorted({r[i] for r in rows if r[i] is not None})))
+    vocab, paths = mx.category_vocabulary(df, df.columns, max_literal=10)
+    assert set(paths) == {"many/odd=name"} and vocab["gaps"] == ["E", "e", "nan", "é"] and vocab["none"] == ["nan"]
+    one = mx.encode_with_table(df, "many/odd=name", paths["many/odd=name"], "code").select("many/odd=name", "code").distinct()
+    values = sorted({r[0] for r in rows})
+    assert dict(map(tuple, one.collect())) == {v: i for i, v in enumerate(values)}
+
+
 def test_large_vocabulary_uses_distributed_code_table(spark):
     from loanlens.operators import matrix as mx
     rng = __import__("random").Random(3)
