@@ -16,6 +16,7 @@ order in which the rules were given.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -87,28 +88,33 @@ def _covered(by_window: Column, width: int) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text"):
-    """Adds the text measures under fresh names; also returns what gives a
-    measure's column by its plain name."""
+    """``docs`` with the base measures under fresh names, and what gives a
+    measure by its plain name. A measure that only rules need is no column but
+    an expression over the row's text: it is computed where a rule's branch
+    mentions it, and only for rows that reach that branch."""
     t, w = fresh("text"), fresh("words")
     lines = F.filter(F.split(F.col(t), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    letters = F.length(F.regexp_replace(t, "[^\\p{L}]++", ""))
+    length_of = lambda others: F.length(F.regexp_replace(t, others, "")).cast("long")
     out = docs.withColumn(t, whole_text(text)).withColumn(w, words_of(F.col(t)))
-    measures = {
+    base = {
         "n_words": F.size(w),
         "word_chars": F.length(F.concat_ws("", w)),
-        "n_symbols": F.length(F.regexp_replace(t, "[^#*$%&|<>]++", "")),
+        "n_symbols": length_of("[^#*$%&|<>]++"),
         "n_dup_lines": F.get(F.transform(
             F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0),
-        "n_lines": F.size(lines),
-        "n_stutter": F.size(F.filter(F.col(w), lambda x, i: x == F.get(F.col(w), i - 1))),
         "n_repeat_words": repeated_window_words(F.col(w)),
-        "n_letters": letters,
-        "n_upper": F.length(F.regexp_replace(t, "[^\\p{Lu}]++", "")),
-        "n_shouts": F.length(F.regexp_replace(t, "[^!]++", "")),
     }
-    names = {k: fresh(k) for k in measures}
-    out = out.withColumns({names[k]: v.cast("long") for k, v in measures.items()}).drop(t, w)
-    return out, lambda k: F.col(names[k])
+    by_rule = {
+        "n_lines": F.size(lines).cast("long"),
+        "n_stutter": F.size(F.filter(F.col(w), lambda x, i: x == F.get(F.col(w), i - 1))).cast("long"),
+        "n_letters": length_of("[^\\p{L}]++"),
+        "n_upper": length_of("[^\\p{Lu}]++"),
+        "n_shouts": length_of("[^!]++"),
+        "text": F.col(t),
+    }
+    names = {k: fresh(k) for k in base}
+    out = out.withColumns({names[k]: v.cast("long") for k, v in base.items()})
+    return out, lambda k: by_rule[k] if k in by_rule else F.col(names[k])
 
 
 def base_failed(m) -> Column:
@@ -133,10 +139,11 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = 2000,
                  seed: int = 7) -> list[RuleEstimate]:
     """Measures every rule on a seeded sample of about ``sample_rows`` rows
     (fixed bound, whatever the table) and returns the rules ordered by
-    rejections per second, best first; ties keep the given order.
+    rejections per second, best first. Gains within a factor of two count as
+    equal and keep the given order, so that timings that wander do not turn it.
 
     Each rule is timed from the raw text, as if it ran first, so a rule over a
-    costly measure pays for it.
+    costly measure pays for it; a run before makes the code.
     """
     total = docs.count()
     if total == 0:
@@ -147,19 +154,20 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_rows: int = 2000,
         measured, m = measure(sample)
         found = []
         for rule in rules:
+            tried = measured.select(F.sum(rule.reject(m).cast("long")).alias("hits"))
+            tried.first()
             began = time.perf_counter()
-            hits = measured.select(
-                F.sum(rule.reject(m).cast("long")).alias("hits")).first()["hits"]
+            hits = tried.first()["hits"]
             found.append(RuleEstimate(rule, (time.perf_counter() - began) / n, (hits or 0) / n))
     finally:
         sample.unpersist()
-    return sorted(found, key=lambda e: -e.rejection_per_cost)
+    return sorted(found, key=lambda e: -math.frexp(e.rejection_per_cost)[1] if e.rejection_per_cost else math.inf)
 
 
 def first_rejection(m, ordered) -> Column:
     """Name of the first rule, in cascade order, that rejects; null if none.
-    ``CASE WHEN`` stops at the first true branch, so later rules cost nothing
-    for rows already rejected."""
+    ``CASE WHEN`` stops at the first true branch and rules hold their own
+    measures, so later rules cost nothing for rows already rejected."""
     chain = None
     for rule in ordered:
         chain = (F.when if chain is None else chain.when)(rule.reject(m), F.lit(rule.name))
@@ -173,18 +181,18 @@ RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def judge(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> DataFrame:
     """``docs`` with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``kept`` and ``rejected_by`` (the first
-    rejecting rule; ``base`` for the base ones). Input columns of those names
-    are replaced."""
+    rejecting rule in the planned order, which may differ between runs, unlike
+    ``kept``; ``base`` for the base ones). Input columns of those names are
+    replaced."""
     ordered = [e.rule for e in plan_cascade(docs, rules, sample_rows)]
     columns = [c for c in docs.columns if c not in RESULTS]
     out, m = measure(docs)
     reason = F.when(base_failed(m), F.lit("base")).otherwise(first_rejection(m, ordered))
-    return out.select(*columns, *[m(c).alias(c) for c in RESULTS[:5]],
-                      base_failed(m).alias("base_failed"), reason.isNull().alias("kept"),
-                      reason.alias("rejected_by"))
+    out = out.withColumn("rejected_by", reason)
+    return out.select(*columns, *[m(c).alias(c) for c in RESULTS[:5]], base_failed(m).alias("base_failed"),
+                      F.col("rejected_by").isNull().alias("kept"), "rejected_by")
 
 
-#: DuckDB SQL of the query over ``documents``; the rules are written out.
 SQL = r"""
 with t as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
