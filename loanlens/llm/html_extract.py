@@ -2,16 +2,20 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks on
 their own: by where they stand (menus, footers, forms and the like are out), by
-link density, by length and by stop-word density. Blocks too short or too
-unclear to decide, and linked ones of an ``article`` or ``main``, are left open; the second pass gives each the class of the
-nearest decided neighbour. Inside a page's ``article`` or ``main`` only blocks
-of that part count as neighbours, and open ones without any are kept; so are
-those of a page without such a part, else open blocks outside it are dropped.
+link density, by length and by stop-word density. Standing in an ``article`` or
+``main`` counts for a block as half of the stop words that prose has; there, a
+line of several links and hardly anything else is a menu, while a single linked
+block, like a title or a cited work, is left open. So are blocks too short or
+too unclear to decide; the second pass gives each the class of the nearest
+decided neighbour. Inside a page's ``article`` or ``main`` only blocks of that
+part count as neighbours, and open ones without any are kept; so are those of a
+page without such a part, else open blocks outside it are dropped.
 
 Rows are independent: one pass over the pages, no shuffle.
 
 Defined results: a null or empty page, or one without main text, gives an empty
-text; a page cut off in mid-tag loses that tag only; repeated pages are
+text; pages of any length are read whole; of two neighbours as near the one
+before decides; a page cut off in mid-tag loses that tag only; repeated pages are
 extracted each; null ids and further columns pass through, columns named like a
 result are replaced.
 """
@@ -32,6 +36,8 @@ LONG = 140
 SHORT = 40
 LINKED = 0.4
 STOP_HIGH = 0.25
+#: Links of a line in the main part that make it a menu, and their share of its text.
+MENU_LINKS, MENU_LINKED = 3, 0.75
 
 # Frequent words of the four languages.
 STOP_WORDS = frozenset((
@@ -88,9 +94,10 @@ def is_out(tag: str, rest: str, in_main: bool) -> bool:
 class Block:
     """Text between two block-level tags, and where it stands."""
 
-    __slots__ = ("text", "linked", "out", "main")
+    __slots__ = ("text", "linked", "links", "out", "main")
 
-    def __init__(self, pieces, out: bool, main: int):
+    def __init__(self, pieces, links: int, out: bool, main: int):
+        self.links = links
         whole = "".join(p for p, _ in pieces)
         self.text = " ".join(html.unescape(whole).split())
         self.linked = sum(len(p) for p, a in pieces if a) / max(1, len(whole))
@@ -100,19 +107,21 @@ class Block:
 def blocks(page: str) -> list[Block]:
     found, pieces = [], []
     stack: list[tuple[str, bool, int]] = []  # open elements: tag, out, number of its main part
-    links, mains, at = 0, 0, 0
+    links, opened, mains, at = 0, 0, 0, 0
     p_out = False  # of the paragraph, up to the next block-level tag
 
     def state() -> tuple[bool, int]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
 
     def end_block() -> None:
+        nonlocal opened
         if pieces:
             out, main = state()
-            b = Block(pieces, out or p_out, main)
+            b = Block(pieces, opened, out or p_out, main)
             if b.text:
                 found.append(b)
             pieces.clear()
+        opened = 0
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -125,6 +134,7 @@ def blocks(page: str) -> list[Block]:
             pieces.append((" ", links > 0))
         elif tag == "a":
             links = max(0, links + (-1 if m["close"] else 1))
+            opened += not m["close"]
         if tag in BLOCK_TAGS:
             end_block()
             links = 0
@@ -163,13 +173,16 @@ def first_pass(b: Block) -> bool | None:
     """True for main text, False for anything else, None where open."""
     if b.out:
         return False
+    if b.main and b.links >= MENU_LINKS and b.linked >= MENU_LINKED:
+        return False
     if b.linked > LINKED:
         return None if b.main else False
     if len(b.text) < SHORT:
         return None
-    if len(b.text) >= LONG and (b.main or stop_density(b.text) >= STOP_HIGH):
+    prose = stop_density(b.text)
+    if b.main and len(b.text) >= LONG and prose >= STOP_HIGH / 2:
         return True
-    return True if stop_density(b.text) >= STOP_HIGH else None
+    return True if prose >= STOP_HIGH else None
 
 
 def second_pass(found: list[Block], classes: list[bool | None]) -> list[bool]:

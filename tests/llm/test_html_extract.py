@@ -69,3 +69,43 @@ def test_paragraphs_are_taken_out_by_their_names():
     for rest in ("class='advert'", "class=cookie-notice", "id='share'", "hidden", "role=alert"):
         page = f"<article><p>{STORY}</p><p {rest}>{STORY} <b>Out</b> too.<p>{STORY} Kept.</p><p {rest}>Out</p>Tail</article>"
         assert he.main_text(page) == f"{STORY}\n{STORY} Kept.\nTail", rest
+
+
+MENU = "<div><a href='/1'>First page</a> | <a href='/2'>Second page</a> | <a href='/3'>Third page</a> | <a href='/4'>Fourth</a></div>"
+BARE = "Zorbit quant flim drazzle mortiplex benduro kalvint sorbo trendle wexit plomar frint gorvallo shenk dulmar pritz onvar leskit."
+
+
+def test_densities_decide_where_no_name_does(monkeypatch):
+    """Nothing but links and stop words tells these blocks apart."""
+    inside = f"<article><p>{STORY}</p>{MENU}<p>{STORY} Again.</p></article>"
+    assert he.main_text(inside) == f"{STORY}\n{STORY} Again."
+    outside = f"<body>{MENU}<p>Near menu</p>{MENU}<p>{STORY}</p><p>Near story</p><p>{STORY} Again.</p></body>"
+    assert he.main_text(outside) == f"{STORY}\nNear story\n{STORY} Again."
+    beside = f"<body><div>{BARE}</div><main><p>{BARE}</p><p>{STORY}</p></main></body>"
+    assert he.main_text(beside) == f"{BARE}\n{STORY}"
+    assert he.main_text(beside.replace(f"<div>{BARE}", f"<div>{STORY}")) == f"{STORY}\n{BARE}\n{STORY}"
+    # with a density switched off the same pages come out otherwise
+    for name, value, page in (("MENU_LINKED", 1.1, inside), ("LINKED", 1.1, outside), ("STOP_HIGH", 0.0, beside)):
+        was = he.main_text(page)
+        with monkeypatch.context() as m:
+            m.setattr(he, name, value)
+            assert he.main_text(page) != was, name
+
+
+def test_exact_text_of_pages_without_a_main_part():
+    page = f"<div><h1>The title of a story</h1><p>{STORY}</p><p>Short.</p><ul><li>One point</li><li>Two  points</li></ul><p>{STORY}</p></div>"
+    assert he.main_text(page) == f"The title of a story\n{STORY}\nShort.\nOne point\nTwo points\n{STORY}"
+
+
+def test_fixture_articles_block_by_block(spark):
+    """One line a block, in page order."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = {r.page_id: r.text for r in he.extract(pages).collect()}
+    for p in pages.collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", p.html, re.S)[1]
+        parts = re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|blockquote|pre|table|tr|td|section|figure|figcaption)\b[^>]*>", inner)
+        lines = [" ".join(html.unescape(re.sub(r"<[^>]*(>|$)", "", x)).split()) for x in parts]
+        assert rows[p.page_id] == "\n".join(x for x in lines if x)
