@@ -50,12 +50,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, pattern: str | None =
     kind = dict(docs.dtypes)[doc_id]
 
     def run(batches):
-        chunks = tokenizing.known_chunks(tokenizer_path, pattern)
+        encoder = tokenizing.byte_bpe(tokenizer_path, pattern)
         for b in batches:
             texts, ids = b["text"].tolist(), b["doc_id"]
             for lo, hi in tokenizing.slices(texts):
                 rows = []
-                for at, own in enumerate(chunks.encode(texts[lo:hi], tokenizing.leading_space_chunks), lo):
+                for at, own in enumerate(encoder.encode(texts[lo:hi]), lo):
                     own = np.append(own, np.uint32(end_id)).astype("<u4")
                     rows += [(at, k, s, n, zlib.crc32(own[s:s + n].tobytes()))
                              for k, (s, n) in enumerate(cut(len(own), capacity))]

@@ -1,25 +1,27 @@
-"""Encoding inside tasks: a tokenizer per worker, and a bounded cache of the
-pieces of text that a tokenizer is known to treat independently.
+"""Encoding inside tasks: a tokenizer per worker.
 
-Both vocabularies used here split texts into words before any merge, so a text
-may be cut at such a boundary and the parts encoded one by one by the library;
-the same parts recur, and the cache saves encoding them again. A text in which
-a cut could change the result is encoded whole.
+``ChunkIds`` counts ids with a bounded cache of the pieces of text that a
+tokenizer is known to treat independently: vocabularies split texts into words
+before any merge, so a text may be cut at such a boundary and the parts encoded
+one by one; the same parts recur. A text in which a cut could change the result
+is encoded whole.
+
+``ByteBpe`` gives the ids of a byte-level vocabulary through a faster encoder,
+after checking that the two cannot differ.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 
 import numpy as np
-import regex
 
 #: Chunks that a worker remembers (some 150 bytes each) before it starts over.
 CACHE_ENTRIES = 1_000_000
-CACHED_CHARS = 64
 #: Text encoded at a time, in characters; a longer text goes alone.
 SLICE_CHARS = 2_000_000
 
@@ -84,46 +86,69 @@ def leading_space_chunks(text: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=2)
-def known_chunks(path: str, pattern: str | None = None) -> ChunkIds:
+def known_chunks(path: str) -> ChunkIds:
     """The worker's own ``ChunkIds``: later tasks go on with what it knows."""
-    return ChunkIds(path, pattern)
+    return ChunkIds(path)
 
 
-class ChunkIds:
-    """Ids of known chunks in one flat array; starts over when full.
+@functools.lru_cache(maxsize=2)
+def byte_bpe(path: str, pattern: str | None) -> ByteBpe:
+    """The worker's own ``ByteBpe``."""
+    return ByteBpe(path, pattern)
+
 
-    ``pattern``: given for a byte-level vocabulary without a normaliser, the
-    expression that splits its texts into words; chunks of Latin letters and
-    signs are then split here and their words merged by the library's model,
-    which skips its slower text handling. Special strings go the usual way."""
+class ByteBpe:
+    """Ids as the ``tokenizers`` library gives them.
+
+    ``pattern``: the expression by which a byte-level vocabulary without a
+    normaliser splits texts into words. The library then merges a word's bytes
+    by the order of its merges; the faster encoder merges any neighbours whose
+    joint bytes are a token, by the order of ids. The two agree if ids follow
+    the order of merges and every token, as a word, is encoded as itself: then
+    neighbours that make up a token are always the two of its own merge. Where
+    that does not hold, or no pattern is given, the library itself encodes."""
 
     def __init__(self, path: str, pattern: str | None = None):
         self.tokenizer = load(path)
-        self.pattern = regex.compile(pattern) if pattern else None
-        self.special = re.compile("|".join(
-            re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.clear()
+        self.fast = self._fast(json.loads(self.tokenizer.to_str()), pattern) if pattern else None
+
+    def _fast(self, spec: dict, pattern: str):
+        import tiktoken
+
+        model, splits = spec["model"], spec["pre_tokenizer"] or {}
+        vocab, special = model.get("vocab"), {a["content"]: a for a in spec["added_tokens"]}
+        if (model["type"] != "BPE" or spec["normalizer"] or splits.get("type") != "ByteLevel"
+                or splits.get("add_prefix_space") or not splits.get("use_regex", True)
+                or model.get("ignore_merges") or model.get("unk_token") or model.get("dropout")
+                or any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in special.values())):
+            return None
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        tokens = {t: i for t, i in vocab.items() if t not in special}
+        if (any(a >= b for a, b in itertools.pairwise(merged)) or len(tokens) != len(merged) + len(BYTE_SIGNS)
+                or any(len(self.tokenizer.model.tokenize(t)) != 1 for t in tokens)):
+            return None
+        byte_of = {sign: b for b, sign in BYTE_SIGNS.items()}
+        return tiktoken.Encoding("byte-level", pat_str=pattern,
+                                 mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in tokens.items()},
+                                 special_tokens={c: a["id"] for c, a in special.items()})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; special strings in it are special ids."""
+        if self.fast is None:
+            return [np.array(x, dtype=np.uint32) for x in encode_ids(self.tokenizer, texts)]
+        return [self.fast.encode_to_numpy(t, allowed_special="all") for t in texts]
+
 
-    def new_ids(self, chunks: list[str]) -> list[list[int]]:
-        if self.pattern is None:
-            return encode_ids(self.tokenizer, chunks)
-        merge, words = self.tokenizer.model.tokenize, self.pattern.findall
-        out: list = [None] * len(chunks)
-        other = []
-        for i, c in enumerate(chunks):
-            if not c or len(c) > CACHED_CHARS or max(c) >= "\u0180" or self.special.search(c):
-                other.append(i)
-            else:
-                out[i] = [t.id for w in words(c)
-                          for t in merge(w.encode().decode("latin-1").translate(BYTE_SIGNS))]
-        for i, ids in zip(other, encode_ids(self.tokenizer, [chunks[i] for i in other]), strict=True):
-            out[i] = ids
-        return out
+class ChunkIds:
+    """Number of ids of known chunks; starts over when full."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        self.clear()
 
     def clear(self):
         self.code: dict[str, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.length = np.zeros(0, np.int64)
 
     def learn(self, chunks: list[str]):
         new = [c for c in dict.fromkeys(chunks) if c not in self.code]
@@ -132,15 +157,10 @@ class ChunkIds:
             new = list(dict.fromkeys(chunks))
         if not new:
             return
-        found = self.new_ids(new)
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        start = len(self.ids) + np.concatenate(([0], np.cumsum(length)[:-1]))
+        length = np.fromiter(map(len, encode_ids(self.tokenizer, new)), np.int64, len(new))
         at = len(self.code)
         self.code.update(zip(new, range(at, at + len(new)), strict=True))
-        self.start = np.concatenate((self.start, start))
         self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, np.fromiter(
-            itertools.chain.from_iterable(found), np.uint32, int(length.sum()))))
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         self.learn(chunks)
@@ -153,13 +173,3 @@ class ChunkIds:
         out = np.concatenate(([0], np.cumsum(self.length[codes])))
         ends = np.cumsum([len(p) for p in parts])
         return np.diff(np.concatenate(([0], out[ends]))) if len(ends) else np.zeros(0, np.int64)
-
-    def encode(self, texts: list[str], split) -> list[np.ndarray]:
-        """The ids of each text."""
-        parts = [split(t) for t in texts]
-        codes = self.codes(list(itertools.chain.from_iterable(parts)))
-        length = self.length[codes]
-        before = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.repeat(self.start[codes] - before[:-1], length) + np.arange(before[-1])]
-        ends = before[np.cumsum([0, *map(len, parts)])]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]

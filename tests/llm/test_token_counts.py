@@ -2,8 +2,9 @@ import random
 import uuid
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from loanlens.llm import token_counts, tokenizing
 from loanlens.session import ensure_checkpoint_dir
@@ -15,19 +16,51 @@ def new_cache(spark):
     return f"{ensure_checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
 
 
-@pytest.mark.parametrize("name,split,pattern", [
-    ("byte_bpe_50k.json", tokenizing.leading_space_chunks, public_tokenizers.PATTERN),
-    ("byte_bpe_50k.json", tokenizing.leading_space_chunks, None),
-    ("word_bpe_49k.json", tokenizing.spaced_chunks, None)])
-def test_chunked_encoding_equals_whole_texts(name, split, pattern):
-    path, rnd = public_tokenizers.path(name), random.Random(3)
-    signs = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 ​﻿ab1'sé́<|>.!Σ"
+def odd_texts():
+    rnd = random.Random(3)
+    signs = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u200b\ufeffab1'sé\u0301<|>.!Σ\0"
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
-    texts += ["a  b", "<|endoftext|> a<|endoftext|>b <|startoftext|>", "don't 'LL", "１２３ 123 4567", "x" * 500]
+    return [*texts, "a  b", "<|endoftext|> a<|endoftext|>b <|startoftext|>", "don't 'LL", "１２３ 123 4567", "x" * 500,
+            " " * 70_000 + "x", "word" * 30_000, "\n \t" * 20_000, "😀" * 9000, ""]
+
+
+@pytest.mark.parametrize("name,split", [
+    ("byte_bpe_50k.json", tokenizing.leading_space_chunks), ("word_bpe_49k.json", tokenizing.spaced_chunks)])
+def test_chunked_counts_equal_whole_texts(name, split):
+    path, texts = public_tokenizers.path(name), odd_texts()
     whole = tokenizing.encode_ids(tokenizing.load(path), texts)
-    chunks = tokenizing.ChunkIds(path, pattern)
-    assert [list(x) for x in chunks.encode(texts, split)] == whole
-    assert list(chunks.counts(texts, split)) == [len(x) for x in whole]
+    assert list(tokenizing.ChunkIds(path).counts(texts, split)) == [len(x) for x in whole]
+
+
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, None])
+def test_ids_equal_the_librarys(pattern):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokenizing.ByteBpe(path, pattern)
+    assert (encoder.fast is not None) == (pattern is not None)
+    whole = tokenizing.encode_ids(encoder.tokenizer, odd_texts())
+    assert [list(x) for x in encoder.encode(odd_texts())] == whole
+    documents = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [t or "" for t in documents]
+    assert [list(x) for x in encoder.encode(texts)] == tokenizing.encode_ids(encoder.tokenizer, texts)
+
+
+def test_vocabularies_that_merge_otherwise_are_left_to_the_library(tmp_path):
+    """A token that its own merges cannot make, and ids in another order than merges."""
+    signs = list(tokenizing.BYTE_SIGNS.values())
+    cases = {
+        "a token no word reaches": (["ab", "bc", "abc"], [("a", "b"), ("b", "c"), ("a", "bc")]),
+        "ids out of order": (["bc", "ab"], [("a", "b"), ("b", "c")]),
+        "fine": (["ab", "abc"], [("a", "b"), ("ab", "c")])}
+    for name, (more, merges) in cases.items():
+        vocab = {t: i for i, t in enumerate([*signs, *more])}
+        own = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        path = str(tmp_path / f"{name}.json")
+        own.save(path)
+        encoder = tokenizing.ByteBpe(path, public_tokenizers.PATTERN)
+        assert (encoder.fast is None) == (name != "fine")
+        texts = ["abc", "xabcab bc", "cab abc"]
+        assert [list(x) for x in encoder.encode(texts)] == tokenizing.encode_ids(own, texts)
 
 
 def test_cache_starts_over_when_full(monkeypatch):
