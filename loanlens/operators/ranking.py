@@ -14,6 +14,7 @@ the result is exact although the edges are approximate.
   few order values that straddle a segment cut are ranked row by row,
   and even those are bucketed on the tie column, so a value holding a
   third of the table does not land in one task.
+* ``bracketed_counts`` - value counts around asked quantiles, by a sketch.
 * ``exact_quantiles`` - linear-interpolated quantiles (numpy / DuckDB
   ``quantile_cont`` semantics) from value counts, without the exact
   ``percentile`` aggregate's single in-memory value map.
@@ -198,17 +199,61 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
+#: Ranks of a sketch are off by a share of at most 1 / ACCURACY.
+ACCURACY = 10_000
+#: Ranks that a bracket's ends lie apart from its quantile, at least.
+RANKS_APART = 8
+
+
+def bracketed_counts(values: DataFrame, probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """(_k, _v, _c, _wide): value counts of each key of ``values`` (_k, _v),
+    complete only where quantiles ``probs`` lie.
+
+    A mergeable quantile sketch of each key gives a value below and one above
+    every asked quantile, at least twice its error and a few ranks apart from
+    it (a wider reach for keys of few values), so they must enclose it. One
+    pass then counts the values inside these brackets one by one and all others
+    as one row between two brackets, named by its largest value (``_wide``: it
+    stands for several values). So what is shuffled is bounded by the brackets,
+    not by the number of distinct values."""
+    reaches = [min(1.0, 2.0 / accuracy * 10 ** i) for i in range(max(2, len(str(accuracy)) + 1))]
+    ends = [min(1.0, max(0.0, p + side * r)) for r in reaches for side in (-1, 1) for p in probs]
+    sketch = values.groupBy("_k").agg(F.percentile_approx("_v", ends, accuracy).alias("_all"),
+                                      F.count(F.lit(1)).alias("_n"))
+    width = 2 * len(probs)
+    own = F.slice("_all", len(ends) - width + 1, width)
+    for i in reversed(range(len(reaches) - 1)):
+        own = F.when(F.col("_n") * reaches[i] >= RANKS_APART, F.slice("_all", i * width + 1, width)).otherwise(own)
+    sketch = sketch.select("_k", own.alias("_b"))
+    v, low, high = F.col("_v"), lambda i: F.get("_b", F.lit(i)), lambda i: F.get("_b", F.lit(len(probs) + i))
+    inside, passed = F.lit(False), F.lit(0)
+    for i in range(len(probs)):
+        inside = inside | ((v >= low(i)) & (v <= high(i)))
+        passed = passed + (v > high(i)).cast("int")
+    rows = values.join(sketch, "_k").select("_k", "_v", F.when(inside, v).alias("_own"), passed.alias("_gap"))
+    return rows.groupBy("_k", "_own", "_gap").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v"), F.min("_v").alias("_least")).select(
+        "_k", "_v", "_c", (F.col("_least") < F.col("_v")).alias("_wide"))
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     n_buckets: int | None = None) -> list[float] | None:
     """Linear-interpolated quantiles of the non-null, non-NaN values.
 
-    Returns ``None`` when there is no value. Work: one aggregation to
-    value counts, a bucketed running count, and a filter down to the
-    <= 2 * len(probs) value groups that contain the target positions.
+    Returns ``None`` when there is no value. Work: a sketch and a counting
+    pass (``bracketed_counts``), a bucketed running count, and a filter down to
+    the <= 2 * len(probs) value groups that contain the target positions.
     """
-    v = df.select(F.col(value_col).cast("double").alias("_v")).filter(
+    v = df.select(F.lit(0).alias("_k"), F.col(value_col).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    g = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    g = bracketed_counts(v, probs).persist()
+    try:
+        return _quantiles_of_counts(g, probs, n_buckets)
+    finally:
+        g.unpersist()
+
+
+def _quantiles_of_counts(g: DataFrame, probs: Sequence[float], n_buckets: int | None) -> list[float] | None:
     n, edges = count_and_edges(g, "_v", "_c", n_buckets)
     if n == 0:
         return None
@@ -223,7 +268,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     for p in positions:
         c = (start <= p) & (F.lit(p) < end)
         cond = c if cond is None else (cond | c)
-    rows = rt.filter(cond).select("_v", start.alias("s"), end.alias("e")).collect()
+    rows = rt.filter(cond).select("_v", start.alias("s"), end.alias("e"), "_wide").collect()
+    assert not any(r["_wide"] for r in rows), "a quantile lies outside its bracket"
 
     def value_at(p: int) -> float:
         for r in rows:
@@ -239,12 +285,12 @@ def grouped_exact_quantiles(df: DataFrame, key_col: str, value_col: str,
                             ) -> DataFrame:
     """Per-key quantiles in one job: ``(key, q, value)``.
 
-    Same value-count + bucketed running count recipe, partitioned by key;
+    Same sketch, counting pass and bucketed running count, partitioned by key;
     the per-key target table has (#keys x len(probs)) rows.
     """
     v = df.select(F.col(key_col).alias("_k"), F.col(value_col).cast("double").alias("_v")
                   ).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    g = v.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    g = bracketed_counts(v, probs)
     rt = running_totals(g, "_v", ["_c"], partition_cols=["_k"], n_buckets=n_buckets)
     n_tbl = g.groupBy("_k").agg(F.sum("_c").alias("_n"))
     targets = n_tbl.select("_k", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"),
@@ -256,6 +302,8 @@ def grouped_exact_quantiles(df: DataFrame, key_col: str, value_col: str,
     j = rt.join(targets, "_k").filter(
         ((start <= F.col("_lo")) & (F.col("_lo") < end))
         | ((start <= F.col("_hi")) & (F.col("_hi") < end)))
+    outside = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    j = j.withColumn("_v", F.when(F.col("_wide"), outside).otherwise(F.col("_v")))
     agg = j.groupBy("_k", "q", "_h", "_lo").agg(
         F.max(F.when((start <= F.col("_lo")) & (F.col("_lo") < end), F.col("_v"))).alias("a"),
         F.max(F.when((start <= F.col("_hi")) & (F.col("_hi") < end), F.col("_v"))).alias("b"))

@@ -83,3 +83,37 @@ def test_fixture_metrics_invariant_to_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+@pytest.mark.parametrize("accuracy", [20, 300])
+def test_brackets_enclose_every_quantile(spark, accuracy, monkeypatch):
+    """With coarse sketches most values fall between brackets, and the
+    quantiles stay exact."""
+    from loanlens.operators import ranking
+    monkeypatch.setattr(ranking, "ACCURACY", accuracy)
+    monkeypatch.setattr(ranking.bracketed_counts, "__defaults__", (accuracy,))
+    rng = np.random.default_rng(accuracy)
+    columns = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 7, 3000).astype(float),
+               "hot": np.where(rng.random(3000) < 0.4, 5.0, rng.random(3000) * 10), "one": np.full(50, 2.5),
+               "two": np.array([1.0, 2.0]), "tails": np.concatenate((rng.random(500), [-1e300, 1e300]))}
+    rows = [(k, float(x)) for k, v in columns.items() for x in v] + [("none", None), ("normal", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = {(r.k, r.q): r.value for r in grouped_exact_quantiles(df, "k", "x", probs).collect()}
+    assert set(got) == {(k, q) for k in columns for q in probs}
+    for k, v in columns.items():
+        for q in probs:
+            assert got[k, q] == pytest.approx(float(np.quantile(v, q)), rel=1e-12), (k, q)
+    assert exact_quantiles(df.where("k = 'normal'"), "x", probs) == pytest.approx(
+        [float(np.quantile(columns["normal"], q)) for q in probs])
+    long = df.where("x is not null and not isnan(x)").selectExpr("k as _k", "x as _v")
+    counted = ranking.bracketed_counts(long, [0.5])
+    assert counted.agg(F.sum("_c")).first()[0] == sum(map(len, columns.values()))
+    if accuracy == 300:
+        assert counted.count() < 500  # of some 6,500 distinct values
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([("a", None), ("b", float("nan"))], "k string, x double")
+    assert exact_quantiles(df, "x", [0.5]) is None
+    assert grouped_exact_quantiles(df, "k", "x", [0.5]).count() == 0
