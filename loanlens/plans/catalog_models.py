@@ -56,7 +56,7 @@ def _vocab(spark, sf):
         f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'nan')) - 1 AS INTEGER) AS {c}"
         for c in MATRIX_CATEGORICAL) + " FROM feat"))
 def _label_encoding(spark, sf):
-    feats = fr.features(spark, sf)
+    feats = materialize(fr.features(spark, sf), "features")  # read by every pass of the fit
     m = MatrixPrep().fit(feats).transform(feats, assemble=False)
     return m.select("loan_id", *[F.col(c).cast("int").alias(c) for c in MATRIX_CATEGORICAL])
 
@@ -69,7 +69,7 @@ def _finite(c: str) -> str:
     f"SELECT '{c}' AS \"column\", round(quantile_cont({_finite(c)}, 0.5), 6) AS median "
     f"FROM feat" for c in MATRIX_NUMERIC)))
 def _median_impute(spark, sf):
-    t = median_table(fr.features(spark, sf), MATRIX_NUMERIC)
+    t = median_table(materialize(fr.features(spark, sf), "features"), MATRIX_NUMERIC)
     return t.select("column", F.round("median", 6).alias("median"))
 
 
@@ -87,10 +87,10 @@ def _defaults_sql() -> str:
 
 @register("feature_defaults", _defaults_sql())
 def _feature_defaults(spark, sf):
-    split = fr.split_features(spark, sf)
+    split = materialize(fr.split_features(spark, sf), "split")  # read by every pass of the fit
     prep = MatrixPrep().fit(split)
     train = prep.transform(split, assemble=False, keep=["split"]).filter("split = 'train'")
-    t = median_table(train, prep.feature_names)
+    t = median_table(materialize(train, "train-matrix"), prep.feature_names)
     return t.select("column", F.round("median", 6).alias("median"))
 
 
@@ -240,7 +240,7 @@ def _model_comparison(spark, sf):
 
 
 def _boosted_setup(spark, sf):
-    split = fr.split_features(spark, sf)
+    split = materialize(fr.split_features(spark, sf), "split")
     prep = MatrixPrep().fit(split)
     m = materialize(prep.transform(split, keep=["split", "issue_d"]), "matrix")
     model = tr.train(m.filter("split = 'train'"), "xgboost")
