@@ -15,7 +15,10 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import Transformer
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,6 +262,34 @@ class MatrixPrepModel:
         return cls(**json.loads(text))
 
 
+class MatrixStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """The fitted matrix (D11) as an ML stage: vocabulary, coercions and medians
+    in one parameter, so it is saved and loaded like any stage and can stand
+    before a model in a ``PipelineModel``. Large vocabularies are dictionary
+    folders that the state names; ``with_tables`` points it to copies."""
+
+    state = Param(Params._dummy(), "state", "fitted matrix state as JSON", TypeConverters.toString)
+
+    def __init__(self, fitted: MatrixPrepModel | None = None):
+        super().__init__()
+        if fitted is not None:
+            self._set(state=fitted.to_json())
+
+    @property
+    def fitted(self) -> MatrixPrepModel:
+        return MatrixPrepModel.from_json(self.getOrDefault(self.state))
+
+    def with_tables(self, tables: dict[str, str]) -> MatrixStage:
+        fitted = self.fitted
+        fitted.code_tables = {c: tables.get(c, p) for c, p in fitted.code_tables.items()}
+        return MatrixStage(fitted)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        fitted = self.fitted
+        others = [c for c in dataset.columns if c not in fitted.feature_names and c != "features"]
+        return fitted.transform(dataset, keep=others)
+
+
 class MatrixPrep:
     """``prepare_model_matrix`` as a fit/transform pair.
 

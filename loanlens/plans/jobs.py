@@ -23,7 +23,7 @@ from loanlens.operators import training as tr
 from loanlens.operators.cleaning import TARGET, clean_and_label, drop_leaky_columns
 from loanlens.operators.decisions import APPROVE_BELOW, REJECT_ABOVE
 from loanlens.operators.features import build_features, loan_size_edges
-from loanlens.operators.matrix import MatrixPrep, category_vocabulary, feature_defaults
+from loanlens.operators.matrix import MatrixPrep, MatrixStage, category_vocabulary, feature_defaults
 from loanlens.operators.splits import seeded_sample, split_bounds, time_based_split
 from loanlens.session import ensure_checkpoint_dir, materialize
 from loanlens.sources.sinks import path_exists, read_json_artifact, write_json_artifact
@@ -49,6 +49,7 @@ class ScoringArtifacts:
     reject_above: float = REJECT_ABOVE
     metadata: dict = field(default_factory=dict)
     code_tables: dict[str, str] = field(default_factory=dict)
+    matrix: MatrixStage | None = None
 
     def save(self, spark: SparkSession, path: str) -> str:
         """Model, calibrator, code tables and JSON state under one folder."""
@@ -59,7 +60,9 @@ class ScoringArtifacts:
         for c, src in self.code_tables.items():
             tables[c] = f"{base}/codes/{c}"
             spark.read.parquet(src).write.mode("overwrite").parquet(tables[c])
-        write_json_artifact(spark, {"code_tables": tables,
+        if self.matrix is not None:
+            self.matrix.with_tables(tables).write().overwrite().save(f"{base}/matrix")
+        write_json_artifact(spark, {"code_tables": tables, "has_matrix": self.matrix is not None,
             "feature_names": self.feature_names, "vocabulary": self.vocabulary,
             "defaults": self.defaults, "loan_size_edges": self.loan_size_edges,
             "approve_below": self.approve_below, "reject_above": self.reject_above,
@@ -75,7 +78,8 @@ class ScoringArtifacts:
                    feature_names=st["feature_names"], vocabulary=st["vocabulary"],
                    defaults=st["defaults"], loan_size_edges=st["loan_size_edges"],
                    approve_below=st["approve_below"], reject_above=st["reject_above"],
-                   metadata=st["metadata"], code_tables=st.get("code_tables", {}))
+                   metadata=st["metadata"], code_tables=st.get("code_tables", {}),
+                   matrix=MatrixStage.load(f"{base}/matrix") if st.get("has_matrix") else None)
 
 
 def load_champion(spark: SparkSession, primary: str | None, fallback: str | None = None
@@ -145,7 +149,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         artifacts = ScoringArtifacts(
             model=model, calibrator=iso, feature_names=names,
             vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
-            loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables},
+            loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables}, matrix=MatrixStage(prep_model),
             metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
                       "training_date": dt.datetime.now(dt.UTC).isoformat()})
         if out_dir:
@@ -191,7 +195,7 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     artifacts = ScoringArtifacts(
         model=model, calibrator=iso, feature_names=names,
         vocabulary={**vocab_api, **prep_model.vocabulary}, defaults=defaults,
-        loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables},
+        loan_size_edges=edges, code_tables={**tables_api, **prep_model.code_tables}, matrix=MatrixStage(prep_model),
         metadata={"model": model_name, "split": {"train_frac": train_frac, "val_frac": val_frac},
                   "training_date": dt.datetime.now(dt.UTC).isoformat(),
                   "test_auc": summary["roc_auc"], "test_ks": summary["ks"],
@@ -222,19 +226,16 @@ def evaluation_tables(spark: SparkSession, loans: DataFrame, artifacts: ScoringA
     """Rebuild the split of a saved model (its stored fractions unless
     others are given), score train and test, and return ``metrics`` (AUC, KS,
     Gini, score PSI), ``classification``, ``decile_lift``, ``vintage_auc`` and
-    ``feature_psi`` of the model's top features."""
-    from pyspark.ml.feature import VectorAssembler
-
-    from loanlens.operators.scoring import encode_for_model
+    ``feature_psi`` of the model's top features. The saved matrix stage encodes
+    and imputes as in training."""
     stored = artifacts.metadata.get("split", {})
     feats = build_features(prepare_loans(loans), loan_size_edges=artifacts.loan_size_edges)
     split = time_based_split(feats, "issue_d", train_frac or stored.get("train_frac", 0.7),
                              val_frac or stored.get("val_frac", 0.15))
     names = artifacts.feature_names
-    m = encode_for_model(split.withColumn("_issue", F.col("issue_d")), names, artifacts.vocabulary,
-                         artifacts.defaults, keep=["loan_id", TARGET, "split", "_issue"],
-                         code_tables=artifacts.code_tables)
-    m = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(m)
+    if artifacts.matrix is None:
+        raise ValueError("the saved model lacks its fitted matrix: train and save it again")
+    m = artifacts.matrix.transform(split.withColumn("_issue", F.col("issue_d")))
     scored = tr.score(artifacts.model, m.filter("split <> 'val'"))
     # every metric rescans the scores: written once
     scored = materialize(scored.select("loan_id", TARGET, "split", F.col("_issue").alias("issue_d"),

@@ -160,6 +160,25 @@ def test_evaluate_saved_model_on_rebuilt_holdout(spark, run):
     assert got.roc_auc > 0.6
 
 
+def test_fitted_matrix_is_a_stage_that_is_saved_with_the_model(spark, run, tmp_path):
+    """A loaded champion encodes and imputes as in training, large vocabularies included."""
+    from pyspark.ml import PipelineModel
+
+    from loanlens.operators.cleaning import TARGET
+    from loanlens.plans.jobs import ScoringArtifacts, build_features, evaluate_saved, prepare_loans
+    loans, r = run
+    art = ScoringArtifacts.load(spark, r.artifacts.save(spark, str(tmp_path / "champion")))
+    assert art.matrix.fitted.medians == r.artifacts.matrix.fitted.medians
+    path = art.matrix.fitted.code_tables["title"]
+    assert path.startswith(str(tmp_path)) and spark.read.parquet(path).count() > 500
+    a, b = evaluate_saved(spark, loans, art).first(), r.metrics.first()
+    assert (a.roc_auc, a.ks, a.score_psi) == pytest.approx((b.roc_auc, b.ks, b.score_psi), abs=1e-9)
+    whole = PipelineModel([art.matrix, *art.model.stages])
+    feats = build_features(prepare_loans(loans), loan_size_edges=art.loan_size_edges)
+    p = whole.transform(feats.limit(200)).select("loan_id", TARGET, "probability").collect()
+    assert len(p) == 200 and all(0 <= x.probability[1] <= 1 for x in p)
+
+
 def test_evaluation_tables_of_a_saved_model(spark, run):
     from loanlens.plans.jobs import TOP_N_FEATURES_FOR_PSI, evaluation_tables
     loans, r = run
