@@ -414,6 +414,23 @@ def _warehouse(spark, sf):
     return spark.table(table).select(*_WAREHOUSE_PROBE)
 
 
+@register("warehouse_months", q(
+    "SELECT coalesce(strftime(strptime(issue_d, '%b-%Y'), '%Y-%m'), 'unknown') AS issue_month, "
+    "count(*) AS n, count(DISTINCT loan_id) AS n_keys, round(sum(loan_amnt), 2) AS loan_amnt, "
+    "CAST(sum(target_default) AS BIGINT) AS n_default FROM clean GROUP BY 1"))
+def _warehouse_months(spark, sf):
+    """The warehouse loaded by issue month, its last month loaded again."""
+    from loanlens.sources.sinks import load_warehouse_months, read_warehouse
+    path = scratch(spark, "warehouse")
+    loans = fr.cleaned(spark, sf)
+    last = load_warehouse_months(loans, path)[-1:]
+    again = F.date_format(F.try_to_date("issue_d", "MMM-yyyy"), "yyyy-MM").isin(*last)
+    load_warehouse_months(loans.where(again), path)
+    return read_warehouse(spark, path).groupBy("issue_month").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("loan_id").alias("n_keys"),
+        F.round(F.sum("loan_amnt"), 2).alias("loan_amnt"), F.sum("target_default").cast("long").alias("n_default"))
+
+
 @register("application_feed", (
     f"WITH {LOANS_SQL} SELECT loan_id AS app_id, loan_amnt, grade, annual_inc, "
     "delinq_2yrs, earliest_cr_line FROM loans"))
