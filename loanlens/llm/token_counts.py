@@ -37,8 +37,10 @@ def tokenizer_digest(path: str) -> str:
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(cache)
-    except AnalysisException:  # nothing stored yet
-        return spark.createDataFrame([], CACHE_SCHEMA)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # a cache that is there but cannot be read is no empty one
+        return spark.createDataFrame([], CACHE_SCHEMA)  # nothing stored yet
 
 
 def known_counts(spark: SparkSession, cache: str, version: str) -> DataFrame:

@@ -98,6 +98,12 @@ def test_stored_counts_are_used(spark):
     assert token_counts.count_tokens(docs, PATH, cache, drops_space=True).first().n_tokens == 77
 
 
+def test_only_a_missing_cache_is_an_empty_one(spark):
+    assert token_counts.read_cache(spark, new_cache(spark)).isEmpty()
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        token_counts.read_cache(spark, "nosuchstore://cache")
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_tokens string")
     out = token_counts.count_tokens(empty, PATH, new_cache(spark), drops_space=True)
