@@ -117,3 +117,28 @@ def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([("a", None), ("b", float("nan"))], "k string, x double")
     assert exact_quantiles(df, "x", [0.5]) is None
     assert grouped_exact_quantiles(df, "k", "x", [0.5]).count() == 0
+
+
+def test_column_medians_take_few_passes(spark):
+    """A sketch and a counting pass; what follows reads the counts, not the rows."""
+    from loanlens.operators.matrix import column_medians, median_table
+    rng = np.random.default_rng(5)
+    n = 30_000
+    odd = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n))
+    odd[:5] = [np.inf, -np.inf, 0.0, -0.0, 1e300]
+    frame = {"odd": odd, "few": rng.integers(0, 3, n).astype(float), "one": np.full(n, 7.0),
+             "skewed": np.exp(rng.normal(size=n) * 5), "gone": np.full(n, np.nan)}
+    df = spark.createDataFrame(list(zip(*(v.tolist() for v in frame.values()))), ", ".join(f"{c} double" for c in frame))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    got = column_medians(df.mapInPandas(counted, df.schema), list(frame))
+    assert read.value == 2 * n
+    want = {c: float(np.median(v[np.isfinite(v)])) if c != "gone" else None for c, v in frame.items()}
+    assert got.pop("gone") is want.pop("gone") is None and got == pytest.approx(want, rel=1e-12)
+    assert {r["column"]: r["median"] for r in median_table(df, list(frame)).collect()} == pytest.approx(want, rel=1e-12)
+    assert column_medians(df.where("false"), ["odd"]) == {"odd": None}
