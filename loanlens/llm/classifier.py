@@ -8,9 +8,10 @@ labelled bad. Scores are the strengths through a logistic curve placed so that
 the threshold scores ``CUT``.
 
 Only texts feed the score. Features are JVM-side expressions over the row's own
-text; training takes at most about ``max_labelled`` labelled rows by a hash of
-their id (the bound is a parameter; the sample is joined by broadcast), and
-scoring is one pass over all documents without a shuffle.
+text; training takes every labelled row outside the held-out fold (callers may
+ask for a bounded hash sample with ``max_labelled``), and scoring is one pass
+over all documents without a shuffle. Features of labelled rows, their ranks and
+the pairs are tables; the driver sees the weights and the threshold.
 
 Defined results: a null text is an empty one and is scored like any other;
 labels that are null are ignored, several of one document are averaged (half or
@@ -27,9 +28,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlens.llm.common import SPACES, fresh, whole_text, words_of
+from loanlens.operators.ranking import exact_quantiles
+from loanlens.session import materialize
 
 CUT = 0.3
-MAX_LABELLED = 20_000
+#: Up to this many labels go to the texts; more meet the texts' features.
+BROADCAST_LABELS = 1_000_000
+#: Pairs that one task of the fit sums.
+PAIRS_A_TASK = 100_000
+#: Decimals of a weight: sums of several tasks differ in the last digits with their order.
+WEIGHT_DIGITS = 9
 ROUNDS = 4
 REGULARISATION = 1e-3
 FOLDS = 5
@@ -72,25 +80,38 @@ def with_features(docs: DataFrame, text: str, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, doc_id: str,
-                    max_labelled: int) -> DataFrame:
-    """(id, good, features) of a hash sample of the labelled training rows."""
+                    max_labelled: int | None = None) -> DataFrame:
+    """(id, good, features) of the labelled training rows: all of them, or about
+    ``max_labelled`` by a hash of their id."""
     known = (labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
              .groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).alias("good")))
-    share = min(1.0, max_labelled / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
-    return with_features(rows, "_text", "x").select("_id", "good", "x")
+    n = known.count()
+    if max_labelled is not None and n > max_labelled:
+        known = known.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(
+            max_labelled / n * 1_000_000))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    if n <= BROADCAST_LABELS:  # the labels go to the texts
+        rows = with_features(rows.join(F.broadcast(known), "_id"), "_text", "x")
+    else:  # only ids and features are dealt out, no text
+        rows = with_features(rows, "_text", "x").select("_id", "x").join(known, "_id")
+    return rows.select("_id", "good", "x")
 
 
 def preference_pairs(sample: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pair, label, features): feature differences of good and bad documents,
-    each pair with a number of its own. In each round every document of the larger kind meets one of the smaller; every
-    other pair is turned round, so both outcomes occur. The windows rank the
-    bounded sample only."""
-    rank = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("x"))) - 1
-    ranked = sample.withColumn("_rank", rank)
-    size = Window.partitionBy("good")
-    ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(size))
+    each pair with a number of its own. In each round every document of the larger
+    kind meets one of the smaller; every other pair is turned round, so both
+    outcomes occur. Ranks come from one global sort by kind and hash: a row's rank
+    is its place among its kind's rows of its partition behind those of earlier
+    partitions (a window over partitions x kinds)."""
+    stamped = materialize(sample.orderBy("good", F.xxhash64("_id"), "_id", F.xxhash64("x")).select(
+        "good", "x", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "ranked-sample")
+    per = stamped.groupBy("good", "_p").agg(F.count(F.lit(1)).alias("_rows"), F.min("_m").alias("_m0"))
+    before = Window.partitionBy("good").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    places = per.select("good", "_p", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_m0")).alias("_o"),
+                        F.sum("_rows").over(Window.partitionBy("good")).alias("_n"))
+    # one row a partition and kind: at most two for each partition
+    ranked = stamped.join(F.broadcast(places), ["good", "_p"]).withColumn("_rank", F.col("_o") + F.col("_m"))
     good, bad = (ranked.where(F.col("good") == v).select(F.col("x").alias(n), F.col("_rank").alias(f"r_{n}"),
                                                           F.col("_n").alias(f"n_{n}"))
                  for v, n in ((True, "g"), (False, "b")))
@@ -109,23 +130,25 @@ def preference_pairs(sample: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", text: str = "text",
-        doc_id: str = "doc_id", max_labelled: int = MAX_LABELLED) -> tuple[list[float], float]:
-    """(weights, threshold): a document's strength is weights . features."""
-    sample = labelled_sample(docs, labels, label, text, doc_id, max_labelled).persist()
+        doc_id: str = "doc_id", max_labelled: int | None = None) -> tuple[list[float], float]:
+    """(weights, threshold): a document's strength is weights . features. Learnt
+    from every labelled training row unless ``max_labelled`` bounds them."""
+    sample = materialize(labelled_sample(docs, labels, label, text, doc_id, max_labelled), "labelled")
+    kinds = {r["good"]: r["n"] for r in sample.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(kinds) < 2:
+        return [], 0.0
+    # pairs are dealt to tasks by their number and summed there in one order; what is left to chance is
+    # the order of the tasks' sums, which the rounding takes away
+    tasks = -(-max(kinds.values()) * ROUNDS // PAIRS_A_TASK)
+    pairs = preference_pairs(sample).repartition(tasks, "pair").sortWithinPartitions("pair").persist()
     try:
-        kinds = {r["good"]: r["n"] for r in sample.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if len(kinds) < 2:
-            return [], 0.0
-        # the pairs are few (max_labelled * rounds); in one order their sums, so the weights, are the same in every run
-        pairs = preference_pairs(sample).coalesce(1).sortWithinPartitions("pair").persist()
         model = LogisticRegression(fitIntercept=False, regParam=REGULARISATION, maxIter=60).fit(pairs)
-        pairs.unpersist()
-        weights = [float(w) for w in model.coefficients]
-        bad_share = kinds[False] / (kinds[True] + kinds[False])
-        threshold = sample.agg(F.percentile(strength(F.col("x"), weights), F.lit(bad_share)).alias("t")).first()["t"]
     finally:
-        sample.unpersist()
-    return weights, float(threshold)
+        pairs.unpersist()
+    weights = [round(float(w), WEIGHT_DIGITS) for w in model.coefficients]
+    bad_share = kinds[False] / (kinds[True] + kinds[False])
+    strengths = sample.select(strength(F.col("x"), weights).alias("s"))
+    return weights, exact_quantiles(strengths, "s", [bad_share])[0]
 
 
 def strength(features: Column, weights: list[float]) -> Column:

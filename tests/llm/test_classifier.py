@@ -67,3 +67,22 @@ def test_edges(spark):
     rows = classifier.classify(odd, *weights).collect()
     assert all(0 <= r.score <= 1 for r in rows) and len(rows) == 4
     assert classifier.classify(docs.where("false"), *weights).count() == 0
+
+
+def test_every_label_is_learnt_from(spark, monkeypatch):
+    """Nothing bounds the labelled rows: pairs hold all of them, by either way of meeting the texts."""
+    n = 26_000
+    rows = spark.range(n).select(classifier.F.col("id").alias("doc_id"), classifier.F.when(
+        classifier.F.col("id") % 4 > 0, "plain words here").otherwise("BUY!! NOW ###").alias("text"))
+    labels = rows.select("doc_id", (classifier.F.col("doc_id") % 4 > 0).cast("int").alias("quality"))
+    used = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(n))
+    met = []
+    pairs = classifier.preference_pairs
+    monkeypatch.setattr(classifier, "preference_pairs", lambda sample: met.append(sample.count()) or pairs(sample))
+    model = classifier.fit(rows, labels)
+    assert met == [used] and used > 20_000
+    monkeypatch.setattr(classifier, "BROADCAST_LABELS", 10)
+    monkeypatch.setattr(classifier, "PAIRS_A_TASK", 9_000)
+    again, threshold = classifier.fit(rows, labels)
+    assert met == [used, used] and max(abs(a - b) for a, b in zip(again, model[0])) < 1e-6
+    assert abs(threshold - model[1]) < 1e-6
