@@ -23,7 +23,7 @@ from loanlens.operators import training as tr
 from loanlens.operators.cleaning import TARGET, clean_and_label, drop_leaky_columns
 from loanlens.operators.decisions import APPROVE_BELOW, REJECT_ABOVE
 from loanlens.operators.features import build_features, loan_size_edges
-from loanlens.operators.matrix import MatrixPrep, MatrixStage, category_vocabulary, feature_defaults
+from loanlens.operators.matrix import MatrixPrep, MatrixPrepModel, MatrixStage, category_vocabulary, feature_defaults
 from loanlens.operators.splits import seeded_sample, split_bounds, time_based_split
 from loanlens.session import ensure_checkpoint_dir, materialize
 from loanlens.sources.sinks import path_exists, read_json_artifact, write_json_artifact
@@ -110,19 +110,23 @@ def prepare_loans(loans: DataFrame) -> DataFrame:
     return base
 
 
-def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboost",
-                 train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
-                 shap_sample: int | None = None, out_dir: str | None = None,
-                 evaluate: bool = True, importance: bool = True, prep_options: dict | None = None,
-                 background_sample: int | None = None, **params) -> TrainingRun:
-    """The full training run as Spark jobs; returns metric tables.
+@dataclass
+class TrainingData:
+    """What every model of one training table shares: the split, the fitted
+    matrix and its rows, the training defaults."""
 
-    ``evaluate=False`` fits only what scoring needs (matrix state, model,
-    training defaults, isotonic map) and skips the holdout metrics.
-    Importance explains every training row; ``shap_sample`` asks for a seeded
-    sample instead, ``importance=False`` leaves it out. The background of the
-    linear model is the train split; ``background_sample`` asks for a seeded
-    sample (the original takes 100 rows)."""
+    edges: list[float]
+    vocabulary: dict[str, list[str]]
+    code_tables: dict[str, str]
+    split: DataFrame
+    prep: MatrixPrepModel
+    matrix: DataFrame
+    defaults: dict[str, float | None]
+
+
+def prepare_training(spark: SparkSession, loans: DataFrame, train_frac: float = 0.7, val_frac: float = 0.15,
+                     fit_on: str = "all", prep_options: dict | None = None) -> TrainingData:
+    """Steps 2-6 of K10: everything before a model is fitted."""
     ensure_checkpoint_dir(spark)
     # The cleaned frame feeds several passes (edges, vocabulary, split, matrix
     # statistics): written once to the shared folder, read back columnar.
@@ -136,11 +140,32 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
     prep_model = prep.fit(split, fit_on=split.filter("split = 'train'") if fit_on == "train"
                           else None)
     matrix = materialize(prep_model.transform(split, keep=["split", "issue_d"]), "matrix")
+    defaults = feature_defaults(matrix.filter("split = 'train'"), prep_model.feature_names)
+    return TrainingData(edges, vocab_api, tables_api, split, prep_model, matrix, defaults)
+
+
+def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboost",
+                 train_frac: float = 0.7, val_frac: float = 0.15, fit_on: str = "all",
+                 shap_sample: int | None = None, out_dir: str | None = None,
+                 evaluate: bool = True, importance: bool = True, prep_options: dict | None = None,
+                 background_sample: int | None = None, prepared: TrainingData | None = None,
+                 **params) -> TrainingRun:
+    """The full training run as Spark jobs; returns metric tables.
+
+    ``evaluate=False`` fits only what scoring needs (matrix state, model,
+    training defaults, isotonic map) and skips the holdout metrics.
+    Importance explains every training row; ``shap_sample`` asks for a seeded
+    sample instead, ``importance=False`` leaves it out. The background of the
+    linear model is the train split; ``background_sample`` asks for a seeded
+    sample (the original takes 100 rows). ``prepared`` is the outcome of
+    ``prepare_training`` with the same options, for several models of one table."""
+    data = prepared or prepare_training(spark, loans, train_frac, val_frac, fit_on, prep_options)
+    edges, vocab_api, tables_api = data.edges, data.vocabulary, data.code_tables
+    split, prep_model, matrix, defaults = data.split, data.prep, data.matrix, data.defaults
     train = matrix.filter("split = 'train'")
     val = matrix.filter("split = 'val'")
     test = matrix.filter("split = 'test'")
     names = prep_model.feature_names
-    defaults = feature_defaults(train, names)
 
     model = tr.train(train, model_name, **params)
     s_val = tr.score(model, val)
@@ -158,7 +183,8 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
         return TrainingRun(metrics=counts, decile_lift=None, vintage_auc=None,
                            feature_psi=None, importance=None, bounds=counts,
                            artifacts=artifacts, scored_test=None)
-    s_test = tr.score(model, test).persist()
+    # every metric rescans the scores: written once, no executor holds them for the session
+    s_test = materialize(tr.score(model, test), "scored-test")
     s_train = tr.score(model, train)
 
     summary = me.binary_metrics(s_test, TARGET, "p_raw").first()
@@ -212,10 +238,13 @@ def run_training(spark: SparkSession, loans: DataFrame, model_name: str = "xgboo
 
 def compare_models(spark: SparkSession, loans: DataFrame, models: dict[str, dict],
                    **options) -> DataFrame:
-    """K9: one metrics table over several models (union of K10 rows)."""
+    """K9: one metrics table over several models (union of K10 rows), all of
+    them fitted on one split and matrix that are prepared once."""
+    shared = ("train_frac", "val_frac", "fit_on", "prep_options")
+    data = prepare_training(spark, loans, **{k: v for k, v in options.items() if k in shared})
     out = None
     for name, params in models.items():
-        m = run_training(spark, loans, name, importance=False, **options, **params).metrics
+        m = run_training(spark, loans, name, importance=False, prepared=data, **options, **params).metrics
         out = m if out is None else out.unionByName(m)
     return out
 

@@ -113,3 +113,18 @@ def test_library_sizes_are_those_of_the_survey(spark):
     assert size(_logistic(10, "y", {}), "maxIter") == (1000,)
     assert size(_forest(10, "y", {}), "numTrees", "maxDepth") == (100, 10)
     assert size(_boosted(10, "y", {}), "maxIter", "maxDepth") == (100, 6)
+
+
+def test_comparison_prepares_its_table_once(spark, monkeypatch):
+    """Split, matrix and defaults are the same for every model, and no scores stay in the executors."""
+    from loanlens.plans import jobs
+    from loanlens.sources.fixture import loan_view
+    written = []
+    materialize = jobs.materialize
+    monkeypatch.setattr(jobs, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = jobs.compare_models(spark, loan_view(spark, "/root/testdata/sf0.001"),
+                              {"logistic": {"maxIter": 3}, "random_forest": {"numTrees": 2, "maxDepth": 2}})
+    assert [r.model for r in out.collect()] == ["logistic", "random_forest"]
+    assert [written.count(n) for n in ("train-base", "split", "matrix", "scored-test")] == [1, 1, 1, 2]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= held
