@@ -41,3 +41,15 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert out.count() > 100
+
+
+def test_quality_stage_asks_for_every_label(spark, monkeypatch):
+    asked = []
+
+    def sample(docs, labels, label, text, doc_id, max_labelled=None):
+        asked.append(max_labelled)
+        return spark.createDataFrame([], "_id long, good boolean, x array<double>")
+
+    monkeypatch.setattr(classifier, "labelled_sample", sample)
+    corpus_pipeline.quality(spark, spark.read.parquet(SF + "/documents.parquet"), SF)
+    assert asked == [None]
