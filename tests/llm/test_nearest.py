@@ -82,3 +82,31 @@ def test_rows_repeating_an_id_are_candidates_and_queries_of_their_own(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.nearest(empty, F.col("id") % 50 == 0).count() == 0
+
+
+def test_pieces_of_a_tile_give_the_best_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 8))
+    x[50:70] = x[3]  # ties beyond a piece
+    ids = np.arange(90)[::-1].copy()
+    side = nearest.Side(np.arange(90), ids, ids % 7 > 0, x)
+    monkeypatch.setattr(nearest, "PIECE", (4, 16))
+    qi, ci, score = nearest.tile_best(side.part(0, 9), side, 5)
+    for i in range(9):
+        s = nearest.cosine(x, np.broadcast_to(x[i], x.shape))
+        want = sorted((-s[j], ids[j] % 7 == 0, ids[j], j) for j in range(90) if j != i)[:5]
+        assert ci[qi == i].tolist() == [w[3] for w in want]
+        np.testing.assert_allclose(score[qi == i], [-w[0] for w in want], rtol=0, atol=1e-15)
+
+
+def test_tasks_get_no_batch_of_tiles(spark):
+    """A joined row held a whole block of candidates, an Arrow batch up to 10,000 of them."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))],
+                               "vec_id long, embedding array<float>")
+    got = nearest.nearest(df, F.col("id") % 2 == 0, block=32, query_block=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+    block = nearest.packed(df.selectExpr("vec_id AS row", "vec_id AS id", "embedding AS v"), 1).first()
+    assert len(block.vectors) == 300 * 8 * 4  # as stored, not doubles
+    assert got.count() == 150 * 5
